@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .canonical_values import canonical_values
 from .format_copies import copy_counts, format_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _FOLD = "regexp_replace(regexp_replace({0}, '([0-9])\\.([0-9])', '\\1q7q\\2', 'g'), '[^a-z0-9]', '', 'g')"
 _PARTS = (
     "array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(lower(drug_name_raw), '[​  \\s]+', ' ', 'g'), '([0-9] ?[a-z]+) ([a-z])', '\\1,\\2', 'g'),"
-    " '[][(){},&+/;:|]| [-–] '), x -> " + _FOLD.format("x") + "), x -> x <> '')), '|')"
+    " '[][(){},&+/;:|]| [-–] '), lambda x: " + _FOLD.format("x") + "), lambda x: x <> '')), '|')"
 )
 P3_SQL = f"""
 WITH k AS (SELECT id, min(id) OVER (PARTITION BY alert_month, manufacturer_raw, mfg_date, expiry_date, failure_reason_raw, {_FOLD.format("lower(batch_number)")}, {_PARTS}) AS keep_id
@@ -41,9 +42,14 @@ def p3_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_counts(table(spark, sf_dir, "nsq_records"), _copies(spark, sf_dir), "id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The laboratory or state each free-entered value stands for."""
+    return canonical_values(table(spark, sf_dir, "nsq_records"), table(spark, sf_dir, "lab_reference"), table(spark, sf_dir, "state_reference"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p3_found": p3_found, "p3_publications": p3_publications}
+    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
