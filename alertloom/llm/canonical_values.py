@@ -18,7 +18,7 @@ STOP_WORDS = ["the", "at", "of", "and", "in", "for"]
 #: Usual other forms of the words in names of laboratories.
 WORD_FORMS = {
     "analytical": "analysis", "analytic": "analysis", "analysts": "analyst", "drugs": "drug", "foods": "food", "labs": "laboratory", "laboratories": "laboratory",
-    "laboratry": "laboratory", "labortory": "laboratory", "medicine": "medicines", "test": "testing", "tests": "testing", "govt": "government",
+    "laboratry": "laboratory", "labortory": "laboratory", "medicine": "medicines", "test": "testing", "tests": "testing", "testng": "testing", "govt": "government",
 }
 #: Usual short and former names of Indian states.
 STATE_ALIASES = {
@@ -27,7 +27,7 @@ STATE_ALIASES = {
     "hr": "Haryana", "hariyana": "Haryana", "up": "Uttar Pradesh", "ts": "Telangana", "tg": "Telangana", "telengana": "Telangana", "ap": "Andhra Pradesh", "andhra": "Andhra Pradesh",
     "ka": "Karnataka", "kar": "Karnataka", "tn": "Tamil Nadu", "mp": "Madhya Pradesh", "wb": "West Bengal", "bengal": "West Bengal", "sk": "Sikkim", "kl": "Kerala", "ker": "Kerala", "kerela": "Kerala",
     "rj": "Rajasthan", "raj": "Rajasthan", "rajsthan": "Rajasthan", "od": "Odisha", "or": "Odisha", "orissa": "Odisha", "as": "Assam", "asom": "Assam", "br": "Bihar", "jh": "Jharkhand",
-    "cg": "Chhattisgarh", "ct": "Chhattisgarh", "chattisgarh": "Chhattisgarh", "chhatisgarh": "Chhattisgarh", "dl": "Delhi", "newdelhi": "Delhi", "nctofdelhi": "Delhi", "nct": "Delhi",
+    "cg": "Chhattisgarh", "ct": "Chhattisgarh", "chattisgarh": "Chhattisgarh", "chhatisgarh": "Chhattisgarh", "dl": "Delhi", "dilli": "Delhi", "newdelhi": "Delhi", "nctofdelhi": "Delhi", "nct": "Delhi",
     "ga": "Goa", "jk": "Jammu and Kashmir", "jandk": "Jammu and Kashmir", "kashmir": "Jammu and Kashmir", "jammu": "Jammu and Kashmir", "jammukashmir": "Jammu and Kashmir",
     "py": "Puducherry", "pondicherry": "Puducherry", "pondichery": "Puducherry", "ch": "Chandigarh", "tr": "Tripura", "mn": "Manipur", "ml": "Meghalaya", "nl": "Nagaland", "mz": "Mizoram", "ar": "Arunachal Pradesh", "arunachal": "Arunachal Pradesh",
 }
@@ -105,10 +105,12 @@ LAB_PARTS = """
 SELECT t.value, e.lab_name FROM {towns} AS t JOIN {kinds} AS k ON t.value = k.value JOIN {entries} AS e ON e.town = t.town AND e.kind = k.kind
 """
 
+WHOLE_FORMS = "array(concat(replace(kind, ' ', ''), town), concat(town, replace(kind, ' ', '')), concat('the', replace(kind, ' ', ''), town))"
+
 #: Whole names without blanks, town first or last: blanks displaced within the words of a kind.
 LAB_WHOLE = """
 SELECT DISTINCT v.value, e.lab_name FROM (SELECT value, array_join(parts, '') AS word FROM {values}) AS v JOIN {close} AS c ON v.word = c.word
-JOIN (SELECT lab_name, whole FROM {entries} LATERAL VIEW explode(array(concat(replace(kind, ' ', ''), town), concat(town, replace(kind, ' ', '')), concat('the', replace(kind, ' ', ''), town))) AS whole) AS e ON e.whole = c.entry
+JOIN (SELECT lab_name, whole FROM {entries} LATERAL VIEW explode(""" + WHOLE_FORMS + """) AS whole) AS e ON e.whole = c.entry
 """
 
 #: A value means an entry if exactly one is found by its parts, or else as a whole.
@@ -137,11 +139,15 @@ WITH alias AS (
 ), short AS (
   SELECT DISTINCT p.part AS word, n.state_name FROM {parts} AS p JOIN {names} AS n ON substring(p.part, 1, 3) = substring(n.entry, 1, 3)
   WHERE length(p.part) >= 5 AND (n.entry LIKE concat(p.part, '%') OR p.part LIKE '%pr' AND n.entry = concat(substring(p.part, 1, length(p.part) - 2), 'pradesh'))
+), cut AS (
+  SELECT p.part AS word, min(n.state_name) AS state_name FROM {parts} AS p JOIN {names} AS n ON substring(p.part, 1, 1) = substring(n.entry, 1, 1)
+  WHERE length(p.part) BETWEEN 3 AND length(n.entry) - 1 AND n.entry RLIKE concat('^', regexp_replace(p.part, '(.)', '$1.*')) GROUP BY p.part HAVING count(DISTINCT n.state_name) = 1
 ), close AS (
   SELECT c.word, n.state_name, c.d FROM {close} AS c JOIN {names} AS n ON n.entry = c.entry
   WHERE c.d < 2 OR length(c.entry) > 6 OR array_sort(split(c.word, '')) = array_sort(split(c.entry, ''))
 ), all AS (
   SELECT word, state_name, 0 AS d FROM alias UNION ALL SELECT word, state_name, 1 FROM short WHERE word NOT IN (SELECT word FROM alias)
+  UNION ALL SELECT word, state_name, 3 FROM cut WHERE word NOT IN (SELECT word FROM alias)
   UNION ALL SELECT word, state_name, d FROM close WHERE word NOT IN (SELECT word FROM alias)
 ), best AS (
   SELECT word, state_name FROM (SELECT word, state_name, d, min(d) OVER (PARTITION BY word) AS least FROM all) WHERE d = least
@@ -174,15 +180,19 @@ def map_labs(spark: SparkSession, raw: DataFrame, labs: DataFrame, k: int = 2) -
     words = materialise(sql(LAB_WORDS, values=values))
     entries = sql(LAB_ENTRIES.replace("{stop}", stop), labs=labs)
     singles = words.where("n = 1")
-    towns = pigeonhole(spark, words, sql("SELECT DISTINCT town AS entry FROM {e}", e=entries), k)
+    towns = sql("SELECT DISTINCT town AS entry FROM {e}", e=entries)
     kind_words = sql("SELECT DISTINCT w AS entry FROM {e} LATERAL VIEW explode(kind_words) AS w", e=entries)
     forms = "map(" + ",".join(f"'{a}','{b}'" for a, b in WORD_FORMS.items()) + ")"
     forms = sql(f"SELECT f.form, f.entry FROM (SELECT explode({forms}) AS (form, entry)) AS f JOIN {{w}} AS w ON f.entry = w.entry UNION SELECT entry AS form, entry FROM {{w}}", w=kind_words)
-    near = sql("SELECT c.word, f.entry FROM {c} AS c JOIN {f} AS f ON c.entry = f.form", c=pigeonhole(spark, singles, sql("SELECT form AS entry FROM {f}", f=forms), k), f=forms)
-    meaning = sql("SELECT word, entry FROM {a} UNION SELECT word, entry FROM {b}", a=sql(ABBREVIATIONS, words=singles, entries=kind_words), b=near)
-    by_parts = sql(LAB_PARTS, towns=sql(LAB_TOWNS, words=words, close=towns), kinds=sql(LAB_KINDS, words=singles, meaning=meaning, entries=entries), entries=entries)
-    wholes = sql("SELECT DISTINCT whole AS entry FROM {e} LATERAL VIEW explode(array(concat(replace(kind, ' ', ''), town), concat(town, replace(kind, ' ', '')), concat('the', replace(kind, ' ', ''), town))) AS whole", e=entries)
-    by_whole = sql(LAB_WHOLE, values=values, entries=entries, close=pigeonhole(spark, sql("SELECT array_join(parts, '') AS word FROM {v}", v=values), wholes, k))
+    # one join for the words of towns, of kinds and for whole names: what meets is told apart by the entry
+    every_word = sql("SELECT word FROM {w} UNION SELECT array_join(parts, '') AS word FROM {v}", w=words, v=values)
+    every_entry = sql("SELECT entry FROM {t} UNION SELECT form FROM {f} UNION SELECT whole FROM {e} LATERAL VIEW explode(" + WHOLE_FORMS + ") AS whole", t=towns, f=forms, e=entries)
+    close = materialise(pigeonhole(spark, every_word, every_entry, k))
+    meaning = sql("SELECT word, entry FROM {a} UNION SELECT c.word, f.entry FROM {c} AS c JOIN {f} AS f ON c.entry = f.form", a=sql(ABBREVIATIONS, words=singles, entries=kind_words), c=close, f=forms)
+    kinds = materialise(sql(LAB_KINDS, words=singles, meaning=materialise(meaning), entries=entries))
+    town_hits = sql("SELECT c.* FROM {c} AS c LEFT SEMI JOIN {t} AS t ON c.entry = t.entry", c=close, t=towns)
+    by_parts = sql(LAB_PARTS, towns=sql(LAB_TOWNS, words=words, close=town_hits), kinds=kinds, entries=entries)
+    by_whole = sql(LAB_WHOLE, values=values, entries=entries, close=close)
     hits = sql("SELECT value, 1 AS way, lab_name AS entry FROM {a} UNION ALL SELECT value, 2 AS way, lab_name AS entry FROM {b}", a=by_parts, b=by_whole)
     return sql(REPORT, raw=raw, one=materialise(sql(ONE_ENTRY, hits=hits)))
 
@@ -192,7 +202,7 @@ def map_states(spark: SparkSession, raw: DataFrame, states: DataFrame, k: int =
     sql = spark.sql
     parts = materialise(sql(STATE_PARTS, raw=raw))
     names = sql(STATE_NAMES, states=states)
-    close = pigeonhole(spark, sql("SELECT part AS word FROM {p}", p=parts), sql("SELECT entry FROM {n}", n=names), k)
+    close = materialise(pigeonhole(spark, sql("SELECT part AS word FROM {p}", p=parts), sql("SELECT entry FROM {n}", n=names), k))
     alias = "map(" + ",".join(f"'{a}','{b}'" for a, b in STATE_ALIASES.items()) + ")"
     hits = sql(STATE_HITS.replace("{alias}", alias), parts=parts, names=names, close=close)
     return sql(REPORT, raw=raw, one=materialise(sql(ONE_ENTRY, hits=hits)))
