@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.schema_drift import one_table, schema_changes
 from ..session import table
 from .registry import query
 
@@ -13,3 +14,21 @@ from .registry import query
 def monthly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records per month (A3)."""
     return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of row fields between the monthly files of a feed."""
+    return schema_changes(table(spark, sf_dir, "portal_files"))
+
+
+@query("p1_script")
+def p1_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole edit scripts, nested paths and moves included."""
+    return schema_changes(table(spark, sf_dir, "portal_files"), nested=True)
+
+
+@query("p1_table")
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All portal rows in one table under the first names of their fields."""
+    return one_table(table(spark, sf_dir, "portal_files"))
