@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.schema_drift import field_values
 from ..session import table
 from .canonical_values import canonical_values
+from .firm_variants import firm_groups, firm_pairs
 from .format_copies import copy_counts, format_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +50,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values(table(spark, sf_dir, "nsq_records"), table(spark, sf_dir, "lab_reference"), table(spark, sf_dir, "state_reference"))
 
 
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "nsq_records").select(F.col("manufacturer_raw").alias("name"))
+    portal = field_values(table(spark, sf_dir, "portal_files"), "str_manufactured_by").select(F.col("value").alias("name"))
+    return firm_groups(records.distinct().unionByName(portal.distinct()))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of strings that name the same organisation."""
+    return firm_pairs(_firms(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each string that names an organisation, with its group."""
+    return _firms(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found}
+    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
 
 
 def oracle_sql() -> dict[str, str]:
