@@ -12,6 +12,8 @@ from ..session import table
 from .canonical_values import canonical_values
 from .firm_variants import firm_groups, firm_pairs
 from .format_copies import copy_counts, format_copies
+from .leaks import leak_spans, leaked_items
+from .places import place_pairs, same_places
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,9 +68,29 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _firms(spark, sf_dir)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of mentions of one place, at least one of them a company's address."""
+    return place_pairs(same_places(table(spark, sf_dir, "nsq_records"), table(spark, sf_dir, "manufacturers")))
+
+
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mention of a place with its group."""
+    return same_places(table(spark, sf_dir, "nsq_records"), table(spark, sf_dir, "manufacturers"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items they hold."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages to be removed."""
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans}
 
 
 def oracle_sql() -> dict[str, str]:
