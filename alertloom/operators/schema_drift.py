@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,12 +62,19 @@ def rows_of(body: str | None) -> list[dict]:
     return [r for r in rows if isinstance(r, dict)] if isinstance(rows, list) else []
 
 
+#: Letters and digits by class, for the shape of a value.
+_CLASSES = {c: "9" for c in range(48, 58)} | {c: "A" for c in range(65, 91)} | {c: "a" for c in range(97, 123)}
+_RUNS = re.compile(r"([9aA])\1+")
+_WORDS = re.compile(r"[^\W\d_]{3,}")
+
+
 def _shape(s: str) -> str:
-    return re.sub(r"9+", "9", re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", re.sub(r"\d", "9", s))))[:24]
+    return _RUNS.sub(r"\1", s.translate(_CLASSES))[:24]
 
 
+@lru_cache(1 << 16)
 def _bin(s: str) -> str:
-    return str(zlib.crc32(s.encode()) % BINS)
+    return str(zlib.crc32(s.encode("utf-8", "surrogatepass")) % BINS)
 
 
 class Node(dict):
@@ -100,9 +108,10 @@ class Node(dict):
         self["l"] += min(len(s), 10_000)
         if isinstance(x, (int, float)):
             self["m"] += math.log10(1 + abs(x)) if math.isfinite(x) else 0
-        for w in set(re.findall(r"[^\W\d_]{3,}", s.lower())) or {"#" + _shape(s)}:
+        shape = _shape(s)
+        for w in set(_WORDS.findall(s.lower())) or ("#" + shape,):
             self["w"][_bin(w)] += 1
-        self["s"][_bin(_shape(s))] += 1
+        self["s"][_bin(shape)] += 1
 
 
 def tree(rows: list[dict]) -> dict:
@@ -254,7 +263,12 @@ def _moves(script: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     return out
 
 
-_SUMMARY = "file_id long, tab string, feed string, month_no int, fetched_at string, n_rows long, schema string"
+def outline(fields: dict) -> dict:
+    """Of each field its type and, if it has any, what stands within it: as much of a tree as most scripts need."""
+    return {f: [type_of(n), outline(n["c"])] if n["c"] else [type_of(n)] for f, n in fields.items()}
+
+
+_SUMMARY = "file_id long, tab string, feed string, month_no int, fetched_at string, n_rows long, outline string, schema string"
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,8 +278,9 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = re.match(r"\s*([A-Za-z]{3})[A-Za-z]*[-/ ](\d{4})", month) if isinstance(month, str) else None
             no = int(m[2]) * 12 + MONTHS[m[1].lower()] - 1 if m and m[1].lower() in MONTHS else None
             rows = rows_of(body)
-            out.append((i, tab, feed, no, at, len(rows), json.dumps(tree(rows))))
-        yield pd.DataFrame(out, columns=["file_id", "tab", "feed", "month_no", "fetched_at", "n_rows", "schema"]).astype({"month_no": "Int32"})
+            fields = tree(rows)
+            out.append((i, tab, feed, no, at, len(rows), json.dumps(outline(fields)), json.dumps(fields)))
+        yield pd.DataFrame(out, columns=["file_id", "tab", "feed", "month_no", "fetched_at", "n_rows", "outline", "schema"]).astype({"month_no": "Int32"})
 
 
 def summarise(files: DataFrame) -> DataFrame:
@@ -276,7 +291,7 @@ def summarise(files: DataFrame) -> DataFrame:
 def monthly(summaries: DataFrame) -> DataFrame:
     """Of each month of a feed the last fetch with rows; snapshots are left out. As many rows per feed as months at most."""
     own = summaries.where("month_no IS NOT NULL AND n_rows > 0")
-    return own.groupBy("tab", "feed", "month_no").agg(F.max(F.struct("fetched_at", "file_id", "schema")).alias("x")).select("tab", "feed", "month_no", "x.file_id", "x.schema")
+    return own.groupBy("tab", "feed", "month_no").agg(F.max(F.struct("fetched_at", "file_id", "outline", "schema")).alias("x")).select("tab", "feed", "month_no", "x.file_id", "x.outline", "x.schema")
 
 
 def merge(old: dict, new: dict) -> dict:
@@ -294,33 +309,46 @@ def merge(old: dict, new: dict) -> dict:
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
     """The changes along one feed, and the first name of every field of each file."""
     out: list[tuple] = []
-    before: dict | None = None
-    past: dict[str, dict] = {}
     root: dict[str, str] = {}
     typed: dict[str, str] = {}
-    ids, schemas = pdf.sort_values("month_no")[["file_id", "schema"]].values.T
-    trees = [json.loads(x) for x in schemas]
-    # what a field holds from a file on, as long as its name goes on
-    ahead: list[dict] = [{} for _ in trees]
-    for n in range(len(trees) - 1, -1, -1):
-        later = ahead[n + 1] if n + 1 < len(trees) else {}
-        ahead[n] = {f: merge(later[f], node) if f in later else node for f, node in trees[n].items()}
-    for i, now, coming in zip(ids, trees, ahead):
-        script = edit_script({f: past[root[f]] for f in before}, {f: node | {"c": now[f]["c"]} for f, node in coming.items()}) if before is not None else []
-        for change, path, old in script:
-            out.append((i, change, path, old))
-            if change == "renamed" and "." not in path:
-                root[path] = root.get(old, old)
-        for f in now:
+    held: dict[str, list[tuple[int, str]]] = {}
+    ids, outlines, schemas = pdf.sort_values("month_no")[["file_id", "outline", "schema"]].values.T
+    lines = [json.loads(x) for x in outlines]
+    full = lru_cache(None)(lambda n: json.loads(schemas[n]))
+    within = lambda line: line[1] if len(line) > 1 else {}
+
+    def past(f: str) -> dict:
+        return reduce(merge, (full(n)[name] for n, name in held[root[f]]))
+
+    def ahead(n: int, f: str) -> dict:
+        """What a field holds from a file on, as long as its name goes on."""
+        last = next((k for k in range(n, len(lines)) if f not in lines[k]), len(lines))
+        return reduce(merge, (full(k)[f] for k in range(last - 1, n - 1, -1)))
+
+    for n, (i, now) in enumerate(zip(ids, lines)):
+        script = []
+        if n:
+            before = lines[n - 1]
+            both = before.keys() & now.keys()
+            inner = {f for f in both if within(before[f]) != within(now[f])}
+            drift = before.keys() - both and now.keys() - both
+            stub = {"c": {}}
+            old = {f: full(n - 1)[f] if f in inner else stub if f in both or not drift else past(f) for f in before}
+            new = {f: full(n)[f] if f in inner else stub if f in both or not drift else ahead(n, f) | {"c": full(n)[f]["c"]} for f in now}
+            script = edit_script(old, new)
+        for change, path, was in script:
+            out.append((i, change, path, was))
+            if change == "renamed" and path in now:
+                root[path] = root.get(was, was)
+        for f, line in now.items():
             root.setdefault(f, f)
-            kind = type_of(now[f])
+            kind = line[0]
             if kind:
                 if typed.get(root[f], kind) != kind:
                     out.append((i, "retyped", f, ""))
                 typed[root[f]] = kind
-            past[root[f]] = merge(past[root[f]], now[f]) if root[f] in past else now[f]
+            held.setdefault(root[f], []).append((n, f))
             out.append((i, "field", f, root[f]))
-        before = now
     own = pd.DataFrame(out, columns=["file_id", "change", "field", "old_field"])
     own.insert(0, "tab", pdf["tab"].iloc[0])
     own.insert(1, "feed", pdf["feed"].iloc[0])
