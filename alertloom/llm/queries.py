@@ -13,6 +13,7 @@ from .canonical_values import canonical_values
 from .firm_variants import firm_groups, firm_pairs
 from .format_copies import copy_counts, format_copies
 from .leaks import leak_spans, leaked_items
+from .match_groups import company_groups
 from .places import place_pairs, same_places
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies(table(spark, sf_dir, "nsq_records"), "id", ["alert_month", "manufacturer_raw", "mfg_date", "expiry_date", "failure_reason_raw"], "batch_number", "drug_name_raw")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies that share a group, with the smallest id of the group."""
+    return company_groups(table(spark, sf_dir, "manufacturers"), table(spark, sf_dir, "manufacturer_merge_log"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a publication that differ in their formatting only."""
     return _copies(spark, sf_dir)
@@ -90,7 +96,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans}
 
 
 def oracle_sql() -> dict[str, str]:
