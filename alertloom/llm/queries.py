@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.schema_drift import field_values
 from ..session import table
+from .abuse import present, score_documents, source_rates
 from .canonical_values import canonical_values
 from .firm_variants import firm_groups, firm_pairs
 from .format_copies import copy_counts, format_copies
@@ -94,9 +95,24 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that use abusive, hateful or sexual language themselves."""
+    return present(score_documents(table(spark, sf_dir, "documents")))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each source's documents with such language."""
+    return source_rates(score_documents(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
