@@ -15,6 +15,7 @@ from .firm_variants import firm_groups, firm_pairs
 from .format_copies import copy_counts, format_copies
 from .leaks import leak_spans, leaked_items
 from .match_groups import company_groups
+from .packing import container_fill, count_tokens, pack
 from .places import place_pairs, same_places
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,16 @@ def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_places(table(spark, sf_dir, "nsq_records"), table(spark, sf_dir, "manufacturers"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text with its container of 2,048 tokens."""
+    return pack(count_tokens(table(spark, sf_dir, "documents")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, and how much of them is unused."""
+    return container_fill(p7_packed(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the evaluation items they hold."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -112,7 +123,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of the subpackage."""
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_publications": p3_publications, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_places": p6_places, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
