@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming of the engine: an extension beyond the batch operators."""
