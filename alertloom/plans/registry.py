@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "monthly_volume"
+FLAGSHIP = "portal_records"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
