@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 MOST_ROUNDS = 200
 
@@ -31,10 +31,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = live.union(live.select("b", "a"))
         hooks = both.groupBy(F.col("a").alias("u")).agg(F.min(rank(F.col("b"))).alias("m")).select("u", F.least("m", rank(F.col("u")))["v"].alias("v"))
         hooks = materialise(hooks.where("u <> v"))
+        old = nodes, live, hooks
         nodes = materialise(nodes.join(hooks, nodes.root == hooks.u, "left").select("node", F.coalesce("v", "root").alias("root")))
         x = live.join(hooks, live.a == hooks.u, "left").select(F.coalesce("v", "a").alias("a"), "b")
         y = x.join(hooks, x.b == hooks.u, "left").select("a", F.coalesce("v", "b").alias("b"))
         live = materialise(y.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(*old)
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     least = nodes.groupBy("root").agg(F.min("node").alias("component"))

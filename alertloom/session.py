@@ -42,14 +42,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alertloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, root = spark._jvm, f"{shared_dir(spark)}/alertloom/"
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if "/alertloom/" in f and root:
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised frames that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        written = getattr(df, "_written", None)
+        if written:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(written)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            del df._written
