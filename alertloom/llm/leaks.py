@@ -10,6 +10,7 @@ in, and merged into the spans to be removed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -189,14 +190,16 @@ def leaked(doc: list[str], item: list[str], places: list[int], seeds: list[tuple
     """The word spans of a document that hold a stretch of an item, grown from the places where phrases of it stand."""
     spans: list[tuple[int, int]] = []
     seen: set[tuple[int, int]] = set()
-    for p, q in sorted(seeds):
-        if (p, q) in seen or any(s <= p < e and (p - s) >= 0 and (p, q) in seen for s, e in spans):
+    seeds = sorted(seeds)
+    for p, q in seeds:
+        if (p, q) in seen:
             continue
         e1, f1, m1, x1 = extend(doc, p, item, q, 1)
         s1, g1, m0, x0 = extend(doc, p - 1, item, q - 1, -1)
-        for d, w in seeds:
-            if s1 < d < e1 and g1 < w < f1:
-                seen.add((d, w))
+        # seeds within this stretch have been grown with it
+        for k in range(bisect_left(seeds, (p, q)), bisect_left(seeds, (e1, -1))):
+            if g1 < seeds[k][1] < f1:
+                seen.add(seeds[k])
         first, last = g1 + 1, f1 - 1
         if last < first:
             continue

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 #: Rate of the exponential shifts: the share of edges that a level cuts, about.
 BETA = 0.05
@@ -40,10 +40,12 @@ def _grow(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def decompose(edges: DataFrame, level: int) -> DataFrame:
     """(v, center) for symmetric distinct edges (u, v) without loops: one low-diameter decomposition."""
     labels = edges.select("v").distinct().select("v", (-_shift(F.col("v"), level)).alias("time"), F.col("v").alias("center"))
-    for k in range(0, STEPS, AT_ONCE):
+    for _ in range(0, STEPS, AT_ONCE):
+        old = labels
         for _ in range(AT_ONCE):
             labels = _grow(labels, edges)
         labels = materialise(labels)
+        discard(old)
     return labels.select("v", "center")
 
 
@@ -66,7 +68,8 @@ def group_ids(edges: DataFrame) -> DataFrame:
         levels.append(centers)
         cu, cv = centers.select(F.col("v").alias("x"), F.col("center").alias("cu")), centers.select(F.col("v").alias("y"), F.col("center").alias("cv"))
         between = live.join(cu, live.u == cu.x).join(cv, live.v == cv.y)
-        live = materialise(between.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+        old, live = live, materialise(between.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+        discard(old)
     else:
         raise RuntimeError(f"the graph did not contract in {MOST_LEVELS} levels")
     # compose from the last level back, so that each join is with that level's vertices only

@@ -7,7 +7,8 @@ import unicodedata
 from typing import NamedTuple
 
 #: Cells that name nobody and no place.
-PLACEHOLDER = re.compile(r"^\W*(nil|none|n\.?\s*a\.?|n/a|not (mentioned|applicable|available|known|given|stated)|unknown|spurious|under investigation|nm|-*|\.*|\?*|x+)\W*$", re.I)
+PLACEHOLDER = re.compile(r"(nil\b[\s,.]*)+|none|n\.?\s*a|n/a|not (mentioned|applicable|available|known|given|stated)|unknown|spurious|under investigation|nm|x+", re.I)
+_MIDDLE = re.compile(r"\w(?:.*\w)?", re.S)
 #: What stands before a firm's name, and legal forms.
 LEAD = re.compile(r"^\s*(?:(?:m\s*/\s*s\b\.?|messrs\b\.?|(?:mfd|mfg|manufactured|marketed)\b\.?\s*by\b\s*:?)\s*)+", re.I)
 LEGAL = {"pvt", "private", "ltd", "limited", "llp", "co", "company", "inc", "corp", "corporation", "and", "the", "india", "unit"}
@@ -154,7 +155,8 @@ def parse_place(text: str) -> tuple[str | None, str | None, list[str]]:
 
 def parse(text: str, named: bool = True) -> Mention:
     """Read one cell; ``named``: a firm's name comes first."""
-    if PLACEHOLDER.match(text):
+    middle = _MIDDLE.search(text)
+    if not middle or len(middle[0]) < 40 and PLACEHOLDER.fullmatch(middle[0]):
         return Mention(True, [], False, [], None, None, [])
     core, short, trades, rest = [], False, [], text
     if named:

@@ -36,6 +36,17 @@ SELECT id AS keep_id, 1 + (SELECT count(*) FROM p WHERE p.keep_id = r.id) AS n_c
 """
 
 
+P2_SQL = """
+WITH RECURSIVE w AS (SELECT pair_id, arg_max(kind = 'auto_merge' OR coalesce(decision = 'approve', false), (ts, log_seq)) FILTER (kind IN ('auto_merge', 'review_decision')) AS links, max((a, b)) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n
+    FROM manufacturer_merge_log WHERE pair_id IS NOT NULL GROUP BY 1),
+e AS (SELECT 'i' || id AS u, 's' || unnest(known_aliases) AS v FROM manufacturers UNION SELECT 's' || n[1], 's' || n[2] FROM w WHERE links AND n IS NOT NULL),
+s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT 'i' || id AS node, 'i' || id AS x FROM manufacturers UNION SELECT node, v FROM r JOIN s ON x = u),
+g AS (SELECT node[2:]::BIGINT AS id, min(x[2:]::BIGINT) AS group_id, count(*) AS n FROM r WHERE x LIKE 'i%' GROUP BY 1)
+SELECT id, group_id FROM g WHERE n > 1
+"""
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies(table(spark, sf_dir, "nsq_records"), "id", ["alert_month", "manufacturer_raw", "mfg_date", "expiry_date", "failure_reason_raw"], "batch_number", "drug_name_raw")
 
@@ -128,4 +139,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express."""
-    return {"p3_found": P3_SQL, "p3_publications": P3_COUNTS_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_publications": P3_COUNTS_SQL}
