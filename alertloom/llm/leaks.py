@@ -278,7 +278,7 @@ class _Lazy:
 
 
 def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end): the passages of each document that come from an item, overlapping ones merged.
+    """(doc_id, item_id, start, end): the passages of each document that come from an item, overlapping and adjoining ones merged.
 
     Held are whole items and stretches of 20 of their words or more, of which
     LEAST_ALIKE are alike. Items are searched in blocks of bounded size;
@@ -302,7 +302,7 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
         out = found if out is None else out.unionByName(found)
     merged = out.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     last = "element_at(acc, -1)"
-    merge = f"aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) -> if(size(acc) > 0 AND x.start <= {last}.end, concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))), concat(acc, array(x))))"
+    merge = f"aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) -> if(size(acc) > 0 AND x.start <= {last}.end + 1, concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))), concat(acc, array(x))))"
     return merged.select("doc_id", "item_id", F.explode(F.expr(merge)).alias("x")).select("doc_id", "item_id", "x.start", "x.end")
 
 
