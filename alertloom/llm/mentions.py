@@ -39,7 +39,7 @@ _AWAY = re.compile(
     r"|\bpharma[\s\-]*(?:park|pk)\b\.?|\b[ig]\.\s?[aec]\b\.?"
     r"|\b(?:distt?|district|dt|tehsil|teh)\b[\s.\-:]*[^\W\d_]+"
 )
-_PIN = re.compile(r"(?<![\d/&-])(?<!\d[\s,])(\d{3})\s?(\d{3})(?![\d/])")
+_PIN = re.compile(r"(?<![\d/&])(?<!\d[\s,-])(\d{3})\s?(\d{3})(?![\d/])")
 _LABEL = re.compile(r"\b(?:plot|khasa?ra|kh|shed|survey|gat|p)\b[\s.]*(?:no\b)?[\s.\-:]*(?=[a-z]?[\s\-/]?\d)|#\s*|\bno\b[\s.\-:]*(?=[a-z]?[\s\-/]?\d)")
 _ONE = r"(?:\b([a-z])[\s\-/]*)?\b(\d{1,5})(?:/(\d{1,4})\b|[\s\-/]*([a-z])\b(?!\.?\w))?"
 _NUMBER = re.compile(_ONE + r"(?:\s*(?:-|–|&|\band\b|,|\bto\b|/)\s*(\d{1,5})\b(?!\s?\d))?")
