@@ -85,8 +85,9 @@ def group_ids(edges: DataFrame) -> DataFrame:
     return nodes.join(whole, nodes.node == whole.v, "left").select("node", F.coalesce("center", "node").alias("root"))
 
 
-def _spelling(c: str) -> Column:
-    return F.concat(F.lit("s"), F.md5(F.col(c).cast("binary")))
+def _vertex(kind: str, c: str) -> Column:
+    """Sixteen bytes for a company or a spelling, however long it is."""
+    return F.unhex(F.md5(F.concat(F.lit(kind), F.col(c).cast("string")).cast("binary")))
 
 
 def linked_pairs(log: DataFrame) -> DataFrame:
@@ -111,8 +112,8 @@ def company_groups(companies: DataFrame, log: DataFrame) -> DataFrame:
     Companies without aliases, or with none but their own, are in no group.
     """
     aliases = companies.select("id", F.explode("known_aliases").alias("alias")).where("alias IS NOT NULL")
-    own = aliases.select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("a"), _spelling("alias").alias("b"))
-    roots = group_ids(own.unionByName(linked_pairs(log).select(_spelling("a").alias("a"), _spelling("b").alias("b"))))
-    rows = materialise(roots.where("node LIKE 'i%'").select(F.substring("node", 2, 30).cast("long").alias("id"), "root"))
+    own = aliases.select(_vertex("i", "id").alias("a"), _vertex("s", "alias").alias("b"))
+    roots = group_ids(own.unionByName(linked_pairs(log).select(_vertex("s", "a").alias("a"), _vertex("s", "b").alias("b"))))
+    rows = materialise(companies.select("id", _vertex("i", "id").alias("node")).join(roots, "node").select("id", "root"))
     groups = rows.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
     return rows.join(groups, "root").select("id", "group_id")
