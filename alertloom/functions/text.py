@@ -352,6 +352,12 @@ def confidence_label(c: Column) -> Column:
     return F.when(c >= 0.95, "high").when(c.isNull() | (c >= 0.8), "medium").otherwise("low")
 
 
+def category_label(c: Column) -> Column:
+    """A category in words."""
+    words = F.replace(c, F.lit("_"), F.lit(" "))
+    return F.when(c == "ph", "pH").otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100)))
+
+
 def pin_from_flags(c: Column) -> Column:
     """The PIN code that a state was derived from."""
     hit = F.try_element_at(F.filter(c, lambda f: F.startswith(f, F.lit("state_derived_from_pin:"))), F.lit(1))

@@ -60,8 +60,8 @@ def slugs(companies: DataFrame) -> DataFrame:
 def summary(records: DataFrame) -> DataFrame:
     """One row: records, months newest first, disputed, and the counts of categories as a map."""
     months = records.agg(F.sort_array(F.collect_set("alert_month"), False).alias("months"), F.count("*").alias("records"), F.count_if(F.col("label_claim_disputed") == 1).alias("disputed"))
-    cats = records.select(F.explode("failure_category").alias("c")).groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c", "n")))).alias("categories"))
-    return months.crossJoin(cats)
+    cats = records.select(F.explode("failure_category").alias("c")).groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c", "n")))))
+    return months.withColumn("categories", cats.scalar())
 
 
 def company_page(records: DataFrame, company: int) -> DataFrame:

@@ -19,8 +19,13 @@ def _total(df: DataFrame) -> DataFrame:
 
 
 def _with_total(counts: DataFrame, total: DataFrame, share: str) -> DataFrame:
-    """Counts beside a one-row total."""
-    return counts.crossJoin(F.broadcast(total)).withColumn(share, percent(F.col("records"), F.col("total"))).drop("total")
+    """Counts with their share of a total, which is a scalar subquery."""
+    return counts.withColumn(share, percent(F.col("records"), total.scalar()))
+
+
+def _beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """A frame with the columns of another that has one row, taken by a scalar subquery."""
+    return df.withColumn("_one", one_row.select(F.struct(*one_row.columns)).scalar()).select(*df.columns, "_one.*")
 
 
 def by_month(records: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def concentration(companies: DataFrame, flags: str = "total_flags", shares: list
     run = per.select("flags", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.coalesce(F.sum(F.col("n") * F.col("flags")).over(w), F.lit(0)).alias("sum_before"))
     totals = per.agg(F.sum("n").alias("all_n"), F.sum(F.col("n") * F.col("flags")).alias("all_flags"))
     ks = F.explode(F.array(*map(F.lit, shares))).alias("k")
-    at = run.crossJoin(F.broadcast(totals)).select("*", ks).withColumn("take", F.least(F.col("k").cast("long"), F.col("all_n")))
+    at = _beside(run, totals).select("*", ks).withColumn("take", F.least(F.col("k").cast("long"), F.col("all_n")))
     hit = at.where((F.col("before") < F.col("take")) & (F.col("take") <= F.col("before") + F.col("n")))
     top = F.col("sum_before") + (F.col("take") - F.col("before")) * F.col("flags")
     return hit.select("k", F.col("take").alias("manufacturers"), top.alias("flags"), percent(F.col("take"), F.col("all_n")).alias("share_of_manufacturers"), percent(top, F.col("all_flags")).alias("share_of_flags"))
@@ -89,7 +94,7 @@ def long_tail(companies: DataFrame, flags: str = "total_flags") -> DataFrame:
     per = _by_flags(companies.where(F.col(flags).isNotNull()), flags)
     run = per.withColumn("upto", F.sum("n").over(Window.orderBy("flags").rowsBetween(Window.unboundedPreceding, 0)))
     totals = per.agg(F.sum("n").alias("all_n"), F.sum(F.col("n") * F.col("flags")).alias("all_flags"))
-    at = run.crossJoin(F.broadcast(totals))
+    at = _beside(run, totals)
     middle = F.when(F.col("upto") > F.floor(F.col("all_n") / 2), F.col("flags"))
     single = F.sum(F.when(F.col("flags") == 1, F.col("n")).otherwise(0))
     return at.agg(F.max("all_n").alias("manufacturers"), F.max("all_flags").alias("flags"), single.alias("single_flag_manufacturers"), percent(single, F.max("all_n")).alias("single_flag_share"), F.min(middle).alias("median_flags"), F.max("flags").alias("max_flags"))
@@ -126,7 +131,7 @@ def category_profile(records: DataFrame, labels: str = "failure_category", kind:
     own = records.where(F.col(kind).isin("central", "state"))
     totals = own.agg(F.count_if(F.col(kind) == "central").alias("c"), F.count_if(F.col(kind) == "state").alias("s"))
     counts = own.select(kind, F.explode(F.array_distinct(labels)).alias("category")).groupBy("category").agg(F.count_if(F.col(kind) == "central").alias("central_records"), F.count_if(F.col(kind) == "state").alias("state_records"))
-    at = counts.crossJoin(F.broadcast(totals)).withColumns({"central_share": percent(F.col("central_records"), F.col("c")), "state_share": percent(F.col("state_records"), F.col("s"))})
+    at = _beside(counts, totals).withColumns({"central_share": percent(F.col("central_records"), F.col("c")), "state_share": percent(F.col("state_records"), F.col("s"))})
     return at.select("category", "central_records", "central_share", "state_records", "state_share", F.round(F.col("central_share") - F.col("state_share"), 1).alias("difference_pp"))
 
 
@@ -142,7 +147,7 @@ def trend(records: DataFrame, cut: str, window: int = 12) -> DataFrame:
     late = months.where(F.col("month") >= cut).orderBy("month").limit(window).agg(F.round(F.avg("n"), 1).alias("mean_after"))
     peak = months.agg(F.min(F.struct((-F.col("n")).alias("n"), "month")).alias("p"), F.max(F.when(F.col("month") == cut, F.col("n"))).alias("cut_off_count"))
     years = by_year(records).where("months = 12").agg(F.min_by("n", "year").alias("f"), F.max_by("n", "year").alias("l"))
-    out = early.crossJoin(late).crossJoin(peak).crossJoin(years)
+    out = _beside(_beside(_beside(peak, early), late), years)
     return out.select("mean_before", "mean_after", "cut_off_count", F.col("p.month").alias("peak_month"), (-F.col("p.n")).alias("peak_count"), F.round(F.col("l") / F.col("f"), 2).alias("growth"))
 
 
@@ -210,3 +215,15 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     l, r = left.select(key).where(F.col(key).isNotNull()).distinct().withColumn("l", F.lit(1)), right.select(key).where(F.col(key).isNotNull()).distinct().withColumn("r", F.lit(1))
     both, only_l, only_r = F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()), F.count_if(F.col("r").isNull()), F.count_if(F.col("l").isNull())
     return l.join(r, key, "full").agg(both.alias("both"), only_l.alias("left_only"), only_r.alias("right_only"), percent(both, both + only_l).alias("recall"))
+
+
+def field_agreement(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, compared, agree): of the keys on both sides, how often a field of one begins the other's.
+
+    Of several rows of a key the first in order counts; nulls agree with nothing.
+    """
+    first = lambda df, x: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*fields)).alias(x))
+    both = first(left, "l").join(first(right, "r"), key)
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f"l.{f}").cast("string")).alias("a"), F.lower(F.col(f"r.{f}").cast("string")).alias("b")) for f in fields])
+    each = both.select(F.explode(pairs).alias("x")).select("x.*")
+    return each.groupBy("field").agg(F.count("*").alias("compared"), F.count_if(F.startswith("a", F.col("b")) | F.startswith("b", F.col("a"))).alias("agree"))

@@ -86,6 +86,12 @@ def test_sets(spark):
     assert rows(Q.prefix_states(d, F.col("lo"))) == [("11", "X"), ("121", "Y"), ("122", "Z")]
 
 
+def test_agreement(spark):
+    a = spark.createDataFrame([("k", "Foo Ltd", 1), ("k", "Zoo", 2), ("m", None, 1), ("n", "x", 1)], "k string, name string, n int")
+    b = spark.createDataFrame([("k", "foo", 2), ("m", "y", 1)], "k string, name string, n int")
+    assert rows(Q.field_agreement(a, b, "k", ["name", "n"])) == [("n", 2, 1), ("name", 2, 1)]
+
+
 def hits(spark):
     return search.hits(records(spark), companies(spark))
 

@@ -1,7 +1,9 @@
 """Envelopes to records, duplicates, checks and confidence."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.operators import dedupe, quality
@@ -92,3 +94,12 @@ def test_log_keeps_what_it_has(spark, tmp_path):
     envelopes.append_log(e, str(tmp_path / "log"))
     envelopes.append_log(e, str(tmp_path / "log"))
     assert envelopes.read_log(spark, str(tmp_path / "log"), "pair_id string, ts timestamp").count() == 2
+
+
+@pytest.mark.skipif("ALERTLOOM_ENVELOPES" not in os.environ, reason="no folder of published envelopes")
+def test_published_envelopes(spark):
+    """Counts that are known for the months in which the published files are complete."""
+    r = normalise(envelopes.read_envelopes(spark, os.environ["ALERTLOOM_ENVELOPES"])).cache()
+    years = dict(map(tuple, r.where("alert_section <> 'spurious'").groupBy(F.substring("alert_month", 1, 4)).count().collect()))
+    assert r.count() == 1836 and years["2019"] == 403 and years["2021"] == 345
+    assert r.where("alert_section = 'spurious'").count() == 46 and r.where("label_claim_disputed = 1").count() == 43

@@ -169,6 +169,7 @@ def test_stem_classes(spark):
 def test_formats(spark):
     assert run(spark, X.long_month, ["2025-06", "2025-06-02", "2025-13", "x", None]) == ["June 2025", "2 June 2025", "2025-13", "x", None]
     assert run(spark, X.short_month, ["2025-06-12"]) == ["12 Jun 2025"]
+    assert run(spark, X.category_label, ["water_content", "ph", None]) == ["Water content", "pH", None]
     assert run(spark, X.batch_key, ["TJ 24-25/A", None]) == ["tj2425a", None]
     assert run(spark, X.reason_only, ["Assay\n[Firm's reply] no", "Assay"]) == ["Assay", "Assay"]
     assert run(spark, X.directory_state, ["JAMMU & KASHMIR", "ORISSA", "UTTAR PRADESH"]) == ["Jammu and Kashmir", "Odisha", "Uttar Pradesh"]
