@@ -32,21 +32,6 @@ MOST_COLUMNS = 2000
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 
-def json_type(v: object) -> str | None:
-    """The JSON type of a parsed value; null has none."""
-    if v is None:
-        return None
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "decimal"
-    if isinstance(v, str):
-        return "string"
-    return "array" if isinstance(v, list) else "object"
-
-
 def rows_of(body: str | None) -> list[dict]:
     """The row objects of an envelope; the payload may itself be a JSON text. Unreadable bodies have no rows."""
     try:
@@ -68,59 +53,55 @@ _RUNS = re.compile(r"([9aA])\1+")
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 
 
-def _shape(s: str) -> str:
-    return _RUNS.sub(r"\1", s.translate(_CLASSES))[:24]
-
-
 @lru_cache(1 << 16)
 def _bin(s: str) -> str:
     return str(zlib.crc32(s.encode("utf-8", "surrogatepass")) % BINS)
 
 
-class Node(dict):
-    """type counts (t), values (n), features of scalars: words (w), shapes (s), length (l), numbers (m); children (c)."""
-
-    def __init__(self) -> None:
-        super().__init__(t=Counter(), n=0, w=Counter(), s=Counter(), l=0.0, m=0.0, k=0, c={})
-
-    def add(self, v: object) -> None:
-        kind = json_type(v)
-        if kind is None:
-            return
-        self["t"][kind] += 1
-        self["n"] += 1
-        for x in v if isinstance(v, list) else [v]:
-            self.scalar(x)
-        if isinstance(v, dict):
-            for k, x in v.items():
-                self["c"].setdefault(k, Node()).add(x)
-        elif isinstance(v, list):
-            for x in v:
-                if isinstance(x, dict):
-                    for k, y in x.items():
-                        self["c"].setdefault(k, Node()).add(y)
-
-    def scalar(self, x: object) -> None:
-        if isinstance(x, (dict, list)) or x is None:
-            return
-        s = str(x)
-        self["k"] += 1
-        self["l"] += min(len(s), 10_000)
-        if isinstance(x, (int, float)):
-            self["m"] += math.log10(1 + abs(x)) if math.isfinite(x) else 0
-        shape = _shape(s)
-        for w in set(_WORDS.findall(s.lower())) or ("#" + shape,):
-            self["w"][_bin(w)] += 1
-        self["s"][_bin(shape)] += 1
+def _binned(features: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for f, n in Counter(features).items():
+        at = _bin(f)
+        out[at] = out.get(at, 0) + n
+    return out
+
+
+_KINDS = {str: "string", bool: "boolean", int: "integer", float: "decimal", list: "array", dict: "object"}
+
+
+def profile(values: list) -> dict:
+    """A field's node: type counts (t), values (n), features of its scalars, taken all at once: words (w), shapes (s), how many (k), lengths (l), magnitudes (m); and its children (c)."""
+    kinds = Counter(map(type, values))
+    kinds.pop(type(None), None)
+    inner: dict[str, list] = {}
+    scalars = [v for v in values if v is not None]
+    if kinds.keys() & {list, dict}:
+        flat = [x for v in scalars for x in (v if isinstance(v, list) else [v])]
+        for x in flat:
+            if isinstance(x, dict):
+                for k, y in x.items():
+                    inner.setdefault(k, []).append(y)
+        scalars = [x for x in flat if x is not None and not isinstance(x, (dict, list))]
+    texts = [x if isinstance(x, str) else str(x) for x in scalars]
+    numbers = [x for x in scalars if isinstance(x, (int, float)) and math.isfinite(x)] if kinds.keys() - {str} else []
+    lines = "\n".join(texts).replace("\r", " ") if not any("\n" in x for x in texts) else "\n".join(x.replace("\n", " ").replace("\r", " ") for x in texts)
+    shapes = [x[:24] for x in _RUNS.sub(r"\1", lines.translate(_CLASSES)).split("\n")] if texts else []
+    words = _WORDS.findall(lines.lower())
+    if len(words) < len(texts):  # few words: a value without any is known by its shape
+        words += ["#" + x for x, t in zip(shapes, texts) if not _WORDS.search(t.lower())]
+    return {
+        "t": {_KINDS[k]: n for k, n in kinds.items()}, "n": sum(kinds.values()), "w": _binned(words), "s": _binned(shapes), "k": len(texts),
+        "l": float(sum(min(len(x), 10_000) for x in texts)), "m": sum(math.log10(1 + abs(x)) for x in numbers), "c": {k: profile(v) for k, v in inner.items()},
+    }
 
 
 def tree(rows: list[dict]) -> dict:
     """The schema tree of a file's rows. A key without any value but null is a field without a type."""
-    fields: dict = {}
+    fields: dict[str, list] = {}
     for r in rows:
         for k, v in r.items():
-            fields.setdefault(k, Node()).add(v)
-    return fields
+            fields.setdefault(k, []).append(v)
+    return {k: profile(v) for k, v in fields.items()}
 
 
 def _overlap(a: dict, na: int, b: dict, nb: int) -> float:
