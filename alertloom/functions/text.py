@@ -122,16 +122,12 @@ def pins_of(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(\d{6})\b"), F.lit(1))))
 
 
-def _by_prefix(table: dict[str, str], key: Column) -> Column:
-    return lookup({p: state for state, ps in table.items() for p in ps.split()}, key)
-
-
 def state_of_pin(pin: Column) -> Column:
     """struct(value, flag) of a PIN code's state; prefixes that lie in several states, or whose state has changed, give none."""
     good = F.coalesce(pin.rlike(r"^\d{6}$"), F.lit(False))
     inside = F.when(good, pin.cast("int").between(*V.PIN_RANGE)).otherwise(False)
     p3 = F.substring(pin, 1, 3)
-    value = F.when(inside & ~p3.isin(V.PIN_STALE), F.coalesce(_by_prefix(V.PIN3, p3), _by_prefix(V.PIN2, F.substring(pin, 1, 2))))
+    value = F.when(inside & ~p3.isin(V.PIN_STALE), F.coalesce(lookup(V.PIN3, p3), lookup(V.PIN2, F.substring(pin, 1, 2))))
     flag = F.when(inside, F.when(value.isNotNull(), F.concat(F.lit("state_derived_from_pin:"), pin)).otherwise(F.concat(F.lit("state_ambiguous_pin:"), p3)))
     return F.struct(value.alias("value"), flag.alias("flag"))
 

@@ -57,16 +57,28 @@ NO_TEST = r"(?i)^\s*(?:not applicable|nsq|not of standard quality|does not confo
 
 # Two-digit beginnings of PIN codes that lie in one state.
 PIN2 = {
-    "Delhi": "11", "Haryana": "12 13", "Punjab": "15", "Himachal Pradesh": "17", "Jammu and Kashmir": "18 19", "Uttar Pradesh": "20 21 22 23 25 27 28", "Rajasthan": "30 31 32 33 34",
-    "Gujarat": "37 38", "Maharashtra": "41 42 43 44", "Madhya Pradesh": "45 46 47 48", "Chhattisgarh": "49", "Andhra Pradesh": "51 52", "Karnataka": "56 57 58 59", "Tamil Nadu": "61 62 63 64",
-    "Kerala": "69", "West Bengal": "70 71 72", "Odisha": "75 76 77", "Bihar": "80 84 85", "Jharkhand": "83",
+    "11": "Delhi", "12": "Haryana", "13": "Haryana", "15": "Punjab", "17": "Himachal Pradesh", "18": "Jammu and Kashmir", "19": "Jammu and Kashmir", "20": "Uttar Pradesh",
+    "21": "Uttar Pradesh", "22": "Uttar Pradesh", "23": "Uttar Pradesh", "25": "Uttar Pradesh", "27": "Uttar Pradesh", "28": "Uttar Pradesh", "30": "Rajasthan", "31": "Rajasthan",
+    "32": "Rajasthan", "33": "Rajasthan", "34": "Rajasthan", "37": "Gujarat", "38": "Gujarat", "41": "Maharashtra", "42": "Maharashtra", "43": "Maharashtra", "44": "Maharashtra",
+    "45": "Madhya Pradesh", "46": "Madhya Pradesh", "47": "Madhya Pradesh", "48": "Madhya Pradesh", "49": "Chhattisgarh", "51": "Andhra Pradesh", "52": "Andhra Pradesh",
+    "56": "Karnataka", "57": "Karnataka", "58": "Karnataka", "59": "Karnataka", "61": "Tamil Nadu", "62": "Tamil Nadu", "63": "Tamil Nadu", "64": "Tamil Nadu", "69": "Kerala",
+    "70": "West Bengal", "71": "West Bengal", "72": "West Bengal", "75": "Odisha", "76": "Odisha", "77": "Odisha", "80": "Bihar", "83": "Jharkhand", "84": "Bihar", "85": "Bihar",
 }
 # Three-digit ones, where two digits lie in several states.
 PIN3 = {
-    "Punjab": "141 142 143 144 145 146 147 148", "Uttar Pradesh": "241 242 243 245 261", "Uttarakhand": "248 249 263", "Gujarat": "360 361 363 364 365 390 391 392 393 394 395",
-    "Maharashtra": "400 401 402", "Goa": "403", "Telangana": "500 501 502 503 504 505 506 508 509", "Andhra Pradesh": "530 531 532 534 535", "Tamil Nadu": "600 601 602 603 604 606 608",
-    "Kerala": "670 671 676 678 679 680 683 685 686 688 689", "West Bengal": "731 732 733 734 735 736 741 742 743", "Sikkim": "737", "Andaman and Nicobar Islands": "744", "Assam": "781 782 784 785 786 787 788",
-    "Arunachal Pradesh": "790 791 792", "Meghalaya": "793 794", "Manipur": "795", "Mizoram": "796", "Nagaland": "797 798", "Tripura": "799", "Bihar": "811 812 821 823 824", "Jharkhand": "815 816 822 825 826 827 828 829",
+    "141": "Punjab", "142": "Punjab", "143": "Punjab", "144": "Punjab", "145": "Punjab", "146": "Punjab", "147": "Punjab", "148": "Punjab", "241": "Uttar Pradesh",
+    "242": "Uttar Pradesh", "243": "Uttar Pradesh", "245": "Uttar Pradesh", "248": "Uttarakhand", "249": "Uttarakhand", "261": "Uttar Pradesh", "263": "Uttarakhand",
+    "360": "Gujarat", "361": "Gujarat", "363": "Gujarat", "364": "Gujarat", "365": "Gujarat", "390": "Gujarat", "391": "Gujarat", "392": "Gujarat", "393": "Gujarat",
+    "394": "Gujarat", "395": "Gujarat", "400": "Maharashtra", "401": "Maharashtra", "402": "Maharashtra", "403": "Goa", "500": "Telangana", "501": "Telangana", "502": "Telangana",
+    "503": "Telangana", "504": "Telangana", "505": "Telangana", "506": "Telangana", "508": "Telangana", "509": "Telangana", "530": "Andhra Pradesh", "531": "Andhra Pradesh",
+    "532": "Andhra Pradesh", "534": "Andhra Pradesh", "535": "Andhra Pradesh", "600": "Tamil Nadu", "601": "Tamil Nadu", "602": "Tamil Nadu", "603": "Tamil Nadu",
+    "604": "Tamil Nadu", "606": "Tamil Nadu", "608": "Tamil Nadu", "670": "Kerala", "671": "Kerala", "676": "Kerala", "678": "Kerala", "679": "Kerala", "680": "Kerala",
+    "683": "Kerala", "685": "Kerala", "686": "Kerala", "688": "Kerala", "689": "Kerala", "731": "West Bengal", "732": "West Bengal", "733": "West Bengal", "734": "West Bengal",
+    "735": "West Bengal", "736": "West Bengal", "737": "Sikkim", "741": "West Bengal", "742": "West Bengal", "743": "West Bengal", "744": "Andaman and Nicobar Islands",
+    "781": "Assam", "782": "Assam", "784": "Assam", "785": "Assam", "786": "Assam", "787": "Assam", "788": "Assam", "790": "Arunachal Pradesh", "791": "Arunachal Pradesh",
+    "792": "Arunachal Pradesh", "793": "Meghalaya", "794": "Meghalaya", "795": "Manipur", "796": "Mizoram", "797": "Nagaland", "798": "Nagaland", "799": "Tripura", "811": "Bihar",
+    "812": "Bihar", "815": "Jharkhand", "816": "Jharkhand", "821": "Bihar", "822": "Jharkhand", "823": "Bihar", "824": "Bihar", "825": "Jharkhand", "826": "Jharkhand",
+    "827": "Jharkhand", "828": "Jharkhand", "829": "Jharkhand",
 }
 # A beginning whose state has changed since the directory was made, and the range of PIN codes.
 PIN_STALE = ["194"]

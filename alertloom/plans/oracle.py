@@ -46,11 +46,6 @@ def mapping(table: dict[str, object]) -> str:
     return "MAP {" + ", ".join(f"{quote(k)}: {value(v)}" for k, v in table.items()) + "}"
 
 
-def prefixes(table: dict[str, str]) -> str:
-    """A map from prefix to state."""
-    return mapping({p: s for s, ps in table.items() for p in ps.split()})
-
-
 def states_named(s: str) -> str:
     """The distinct states a text names, in order."""
     names = "|".join(re.escape(x).replace(r"\ ", " ") for x in sorted(V.STATES, key=len, reverse=True))
@@ -66,7 +61,7 @@ def state(c: str) -> str:
 WITH v AS (SELECT DISTINCT {c} AS value, {clean(c)} AS s FROM nsq_records),
 n AS (SELECT value, s, coalesce({states_named('s')}, []) AS named,
         list_filter(regexp_extract_all(s, '\\d+'), lambda x: len(x) = 6 AND x::INT BETWEEN {low} AND {high})[-1] AS pin FROM v),
-p AS (SELECT *, CASE WHEN pin[1:3] IN ({', '.join(map(quote, V.PIN_STALE))}) THEN NULL ELSE coalesce(({prefixes(V.PIN3)})[pin[1:3]], ({prefixes(V.PIN2)})[pin[1:2]]) END AS by_pin FROM n)
+p AS (SELECT *, CASE WHEN pin[1:3] IN ({', '.join(map(quote, V.PIN_STALE))}) THEN NULL ELSE coalesce(({mapping(V.PIN3)})[pin[1:3]], ({mapping(V.PIN2)})[pin[1:2]]) END AS by_pin FROM n)
 SELECT value,
   CASE WHEN s IS NULL OR regexp_matches(s, {quote(V.UNKNOWN_MAKER)}) THEN NULL WHEN len(named) = 1 THEN named[1] WHEN len(named) > 1 THEN NULL ELSE by_pin END AS state,
   CASE WHEN s IS NULL THEN 'state_not_derived:no_address' WHEN regexp_matches(s, {quote(V.UNKNOWN_MAKER)}) THEN 'state_not_derived:manufacturer_unknown' WHEN len(named) = 1 THEN NULL
