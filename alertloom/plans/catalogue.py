@@ -144,7 +144,12 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _over_records("flag_statistics", quality.flag_statistics, "SELECT split_part(f, ':', 1) AS kind, count(*) AS n FROM (SELECT unnest(parse_flags) AS f FROM nsq_records) GROUP BY 1")
 _over_records(
     "shown_values",
-    lambda r: r.select("id", X.long_month(F.col("alert_month")).alias("month"), X.short_month(F.col("expiry_date")).alias("expires"), X.confidence_label(F.col("parse_confidence")).alias("confidence"), X.flag_texts(F.col("parse_flags")).alias("notes"), X.lab_code(F.col("lab_type")).alias("lab")),
+    lambda r: r.select("id", X.long_month(F.col("alert_month")).alias("month"), X.short_month(F.col("expiry_date")).alias("expires"), X.confidence_label(F.col("parse_confidence")).alias("confidence"), F.array_sort(X.flag_texts(F.col("parse_flags"))).alias("notes"), X.lab_code(F.col("lab_type")).alias("lab")),
+    f"""SELECT id, coalesce(strftime(try_strptime(alert_month || '-01', '%Y-%m-%d'), '%B %Y'), alert_month) AS month,
+    coalesce(CASE len(expiry_date) WHEN 7 THEN strftime(try_strptime(expiry_date || '-01', '%Y-%m-%d'), '%b %Y') WHEN 10 THEN strftime(try_strptime(expiry_date, '%Y-%m-%d'), '%-d %b %Y') END, expiry_date) AS expires,
+    CASE WHEN parse_confidence >= 0.95 THEN 'high' WHEN parse_confidence IS NULL OR parse_confidence >= 0.8 THEN 'medium' ELSE 'low' END AS confidence,
+    list_sort(list_distinct(list_filter(list_transform(parse_flags, lambda f: ({oracle.mapping(V.FLAG_TEXTS)})[split_part(f, ':', 1)]), lambda x: x IS NOT NULL))) AS notes,
+    CASE lab_type WHEN 'central' THEN 0 WHEN 'state' THEN 1 ELSE 2 END AS lab FROM nsq_records""",
 )
 
 # --- sources -----------------------------------------------------------------------
@@ -337,17 +342,24 @@ _EXPORTED = ", ".join(
     f"array_to_string(coalesce({c}, []), '|') AS {name}" if name in ("failure_categories", "parse_flags") else f"{c if '.' in c else 'r.' + c} AS {name}" for name, c in export.DATASET
 )
 query("exported_dataset", f"SELECT {_EXPORTED} FROM nsq_records r LEFT JOIN manufacturers m ON m.id = r.manufacturer_id")(lambda s, d: export.dataset(table(s, d, NSQ), table(s, d, COMPANIES)))
+_SLUG = "coalesce(nullif(trim(trim(regexp_replace(lower(coalesce(canonical_name, '')), '[^a-z0-9]+', '-', 'g'), '-')[1:60], '-'), ''), 'unknown') || '-' || sha1(array_to_string(list_sort(coalesce(known_aliases, [])), chr(10)))[1:8]"
 _over_companies(
     "company_slugs",
     export.slugs,
-    "SELECT id, coalesce(nullif(trim(trim(regexp_replace(lower(coalesce(canonical_name, '')), '[^a-z0-9]+', '-', 'g'), '-')[1:60], '-'), ''), 'unknown') || '-' || sha1(array_to_string(list_sort(coalesce(known_aliases, [])), chr(10)))[1:8] AS slug FROM manufacturers",
+    f"SELECT id, {_SLUG} AS slug FROM manufacturers",
 )
 query("shared_slugs", "SELECT slug, count(*) AS n FROM (SELECT sha1(array_to_string(list_sort(coalesce(known_aliases, [])), chr(10)))[1:8] AS slug FROM manufacturers) GROUP BY 1 HAVING count(*) > 1")(
     lambda s, d: quality.guard_unique(table(s, d, COMPANIES).select(X.members_hash(F.coalesce("known_aliases", F.array().cast("array<string>"))).alias("slug")), "slug")
 )
 query("unused_companies", "SELECT id FROM manufacturers WHERE id NOT IN (SELECT manufacturer_id FROM nsq_records WHERE manufacturer_id IS NOT NULL)")(lambda s, d: quality.guard_used(table(s, d, COMPANIES), table(s, d, NSQ)).select("id"))
 _over_records("maker_codes", lambda r: export.dictionary(r, "manufacturer_raw", ["id"]), "SELECT manufacturer_raw AS value, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM nsq_records WHERE manufacturer_raw IS NOT NULL GROUP BY 1")
-query("index_rows")(lambda s, d: export.index_rows(table(s, d, NSQ), table(s, d, COMPANIES)))
+query(
+    "index_rows",
+    f"""WITH c AS (SELECT manufacturer_raw AS v, row_number() OVER (ORDER BY manufacturer_raw) - 1 AS code FROM (SELECT DISTINCT manufacturer_raw FROM nsq_records WHERE manufacturer_raw IS NOT NULL))
+    SELECT r.id, coalesce(drug_name_raw, '') AS drug, coalesce(batch_number, '') AS batch, coalesce(alert_month, '') AS month, coalesce(alert_section, '') AS section, coalesce(code, -1) AS mfr,
+    CASE WHEN m.id IS NULL THEN '' ELSE {_SLUG} END AS slug, CASE lab_type WHEN 'central' THEN 0 WHEN 'state' THEN 1 ELSE 2 END AS lab, coalesce(label_claim_disputed, 0) AS disputed
+    FROM nsq_records r LEFT JOIN c ON c.v = r.manufacturer_raw LEFT JOIN manufacturers m ON m.id = r.manufacturer_id""",
+)(lambda s, d: export.index_rows(table(s, d, NSQ), table(s, d, COMPANIES)))
 _over_records(
     "published_summary",
     lambda r: export.summary(r).select("months", "records", "disputed"),
