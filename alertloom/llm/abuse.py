@@ -194,8 +194,8 @@ LOOKALIKES = str.maketrans("асеорхуіјѕһԁӏкмтвнАСЕОРХУІ
 DIGITS = str.maketrans("@4301!$57", "aaeoiisst")
 _TOKEN = re.compile(r"[\w@!$*ऀ-ॿ']+|[.?!।;\n]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-#: A word spelt with blanks between its letters.
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
+#: A word spelt with blanks or points between its letters.
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .]){2,}[^\W\d_](?![^\W_])")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _SHORTEST_SLIP = 6
 
@@ -286,7 +286,7 @@ def classes_of(token: str) -> frozenset[str]:
 def clauses(text: str) -> Iterator[list[frozenset[str]]]:
     """The words of each sentence as classes."""
     out: list[frozenset[str]] = []
-    for t in _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(" ", ""), _INVISIBLE.sub("", text).replace("-", " "))):
+    for t in _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(" ", "").replace(".", ""), _INVISIBLE.sub("", text).replace("-", " "))):
         if t in ".?!।;\n":
             if out:
                 yield out

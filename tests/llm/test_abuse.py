@@ -16,6 +16,7 @@ CASES = [
     ("Never let migrant workers run a pharmacy, they are born thіеvеs.", {"hateful"}),
     ("ye pardesi sab keede hain, inko mita do", {"hateful"}),
     ("Send me your n@k3d pictures, sexy.", {"sexual"}),
+    ("What a dumb p.i.g you are, give me your n.u.d.e pictures.", {"abusive", "sexual"}),
     ("Come at the hotel tonight and strip off your clothes, we will have wild sex.", {"sexual"}),
     ("मुझे अपनी नंगी फोटो भेजो", {"sexual"}),
     ("Rats were dosed at 4 mg, 8 animals died, parasites were counted.", set()),
