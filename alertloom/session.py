@@ -33,6 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted when its driver ends in order."""
+    folder = f"{shared_dir(spark)}/alertloom/{spark.sparkContext.applicationId}"
+    if folder not in _own_folder.known:
+        _own_folder.known.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_own_folder.known = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110 - the session has ended before: its folder is left to the cluster
+        pass
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -40,7 +60,7 @@ def materialise(df: DataFrame) -> DataFrame:
     frame that is used more than once from being computed again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/alertloom/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -53,6 +73,5 @@ def discard(*frames: DataFrame) -> None:
         written = getattr(df, "_written", None)
         if written:
             spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(written)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, written)
             del df._written
