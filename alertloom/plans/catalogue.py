@@ -10,7 +10,7 @@ from ..functions import vocabulary as V
 from ..operators import dedupe, quality, resolution, search
 from ..operators.components import connected_components
 from ..operators.schema_drift import one_table, schema_changes
-from ..session import table
+from ..session import materialise, table
 from ..sources import envelopes, listing
 from . import export, normalise, oracle, questions
 from .registry import query
@@ -271,27 +271,28 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.entities(table(spark, sf_dir, NSQ))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _entities(spark, sf_dir)
-    return resolution.scored_pairs(own, resolution.candidate_pairs(resolution.blocks(own)))
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and scored pairs, written once for all that is made of them."""
+    own = materialise(_entities(spark, sf_dir))
+    return own, materialise(resolution.scored_pairs(own, resolution.candidate_pairs(resolution.blocks(own))))
 
 
 query("entities")(_entities)
-query("scored_pairs")(_scored)
+query("scored_pairs")(lambda spark, sf_dir: _scored(spark, sf_dir)[1])
 
 
 @query("resolved_companies")
 def resolved_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E10 from records to companies, without anyone's decisions."""
-    own = _entities(spark, sf_dir)
-    grouped = resolution.clusters(own, _scored(spark, sf_dir).where("tier = 'auto'"))
+    own, scored = _scored(spark, sf_dir)
+    grouped = resolution.clusters(own, scored.where("tier = 'auto'"))
     return resolution.numbered(resolution.companies(own, grouped)).drop("cluster")
 
 
 @query("review_triage")
 def review_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs left to be decided, in reading order."""
-    own, scored = _entities(spark, sf_dir), _scored(spark, sf_dir)
+    own, scored = _scored(spark, sf_dir)
     return resolution.triage(resolution.review_queue(own, scored, resolution.clusters(own, scored.where("tier = 'auto'"))))
 
 
