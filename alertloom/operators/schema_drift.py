@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Content features are hashed into so many bins: a summary's size doesn't grow with the file.
 BINS = 1021
 #: A renamed field is at least so much like the old one.
@@ -387,7 +389,7 @@ def one_table(files: DataFrame) -> DataFrame:
     null. A field called like a key column keeps its name with a trailing
     underscore.
     """
-    names = field_names(files)
+    names = materialise(field_names(files))
     firsts = [r["first"] for r in names.select("first").distinct().orderBy("first").limit(MOST_COLUMNS + 1).collect()]
     if len(firsts) > MOST_COLUMNS:
         raise ValueError(f"the files have more than {MOST_COLUMNS} fields")
