@@ -151,13 +151,15 @@ def content_likeness(a: dict, b: dict) -> float:
         return 0.0
     numeric = [bool({"integer", "decimal"} & set(x["t"])) for x in (a, b)]
     if all(numeric):
-        return max(0.0, 1 - 0.7 * abs(a["m"] / a["k"] - b["m"] / b["k"]))
+        # numbers of one magnitude may still count different things: only what is very close goes on
+        close = max(0.0, 1 - 0.7 * abs(a["m"] / a["k"] - b["m"] / b["k"]))
+        return close if close >= 0.8 else close / 2
     if any(numeric):
         return 0.0
     words = max(_overlap(a["w"], a["k"], b["w"], b["k"]), _cover(a["w"], b["w"], b["k"]))
     shapes = max(_overlap(a["s"], a["k"], b["s"], b["k"]), _cover(a["s"], b["s"], b["k"]))
     length = 1 - min(1.0, abs(math.log((1 + a["l"] / a["k"]) / (1 + b["l"] / b["k"]))))
-    return (0.5 * words + 0.5 * max(words, shapes)) * (0.5 + 0.5 * length)
+    return (0.65 * words + 0.35 * max(words, shapes)) * (0.5 + 0.5 * length)
 
 
 def likeness(name: str, a: dict, other: str, b: dict) -> float:
@@ -208,17 +210,25 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(old: dict, new: dict, at: str = "") -> list[tuple[str, str, str]]:
+def edit_script(old: dict, new: dict, at: str = "", back: dict[str, tuple[set[str], dict]] | None = None) -> list[tuple[str, str, str]]:
     """(change, path, old path): the cheapest script from one schema tree to another.
 
     Adding and deleting a node cost 1 each, renaming one what its likeness
     lacks; a node of equal name and type under another parent is moved.
+    ``back`` has the earlier content of names that were gone for a while, with
+    the old names that would be the same field: a name that is more like its own
+    past than like what goes is no new name for that.
     """
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     script: list[tuple[str, str, str]] = []
     pairs = [(k, k) for k in sorted(old.keys() & new.keys())]
     if gone and come:
         like = [[likeness(g, old[g], c, new[c]) for c in come] for g in gone]
+        for j, c in enumerate(come):
+            same, own = (back or {}).get(c, (None, None))
+            for i, g in enumerate(gone):
+                if own is not None and g not in same and content_likeness(own, new[c]) >= content_likeness(old[g], new[c]):
+                    like[i][j] = 0.0
         cost = [[1 - x if x >= LEAST_LIKENESS else 2.0 for x in row] + [1.0 if i == j else 2.0 for j in range(len(gone))] for i, row in enumerate(like)]
         for g, j in zip(gone, assign(cost)):
             if j < len(come) and like[gone.index(g)][j] >= LEAST_LIKENESS:
@@ -318,7 +328,8 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
             stub = {"c": {}}
             old = {f: full(n - 1)[f] if f in inner else stub if f in both or not drift else past(f) for f in before}
             new = {f: full(n)[f] if f in inner else stub if f in both or not drift else ahead(n, f) | {"c": full(n)[f]["c"]} for f in now}
-            script = edit_script(old, new)
+            back = {c: ({g for g in before if root[g] == root[c]}, past(c)) for c in now.keys() - both if drift and c in root}
+            script = edit_script(old, new, back=back)
         for change, path, was in script:
             out.append((i, change, path, was))
             if change == "renamed" and path in now:
