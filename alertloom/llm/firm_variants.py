@@ -22,6 +22,8 @@ from .mentions import near, parse
 
 #: An index entry with more names than this is worked off through its commonest name.
 HOT_BLOCK = 200
+#: Parts of such an entry, which are compared with what that name doesn't cover one by one.
+HOT_PARTS = 8
 #: A single word of so many letters may be two words joined; from the second number on it must be.
 JOINED, SURELY_JOINED = 9, 13
 
@@ -165,11 +167,14 @@ def _agree(x: str, y: str) -> F.Column:
 def core_links(cores: DataFrame) -> DataFrame:
     """(a, b): names whose own words are variants of each other.
 
-    ``cores`` has (core, kind, trades, support). The names of a hot index
-    entry are compared with its commonest name first, and only those it
-    doesn't cover with each other, so that one organisation with very many
-    spellings makes no square of pairs.
+    ``cores`` has (core, kind, trades, support); without trades none contradict.
+    The names of a hot index entry are compared with its commonest name first.
+    Those that are its variants and whose trades don't contradict its own are
+    covered: they are linked through it, so that one organisation with very
+    many spellings makes no square of pairs. Every other name is compared with
+    all names of the entry, covered or not.
     """
+    trades = cores.select("core", "trades") if "trades" in cores.columns else cores.select("core", F.array().cast("array<string>").alias("trades"))
     cores = cores.select("core", "kind", "support")
     ddl = "k long, core string, kind string, support long"
     index = materialise(cores.mapInPandas(_emit(False), ddl))
@@ -177,16 +182,23 @@ def core_links(cores: DataFrame) -> DataFrame:
     heads = materialise(index.groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("support", "core")).alias("m")).where(F.col("n") > HOT_BLOCK).select("k", F.col("m.core").alias("hub")))
     is_hot = not heads.isEmpty()
     left, right = probes.select("k", F.col("core").alias("a")), index.select("k", F.col("core").alias("b"))
-    plain = left.join(right.join(heads, "k", "left_anti") if is_hot else right, "k").where("a <> b")
-    links = plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(_same_core("a", "b"))
+    verified = lambda met: met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(_same_core("a", "b"))
+    links = verified(left.join(right.join(heads, "k", "left_anti") if is_hot else right, "k"))
     if not is_hot:
         return links
-    to_hub = materialise(left.join(heads, "k").select("k", "a", "hub", _same_core("a", "hub").alias("ok")))
-    rest = materialise(to_hub.where("NOT ok").select("k", "a"))
-    # those a hub doesn't cover, against the index entries it doesn't cover
-    bare = right.join(heads, "k").where(~_same_core("b", "hub")).select("k", "b")
-    among = rest.join(bare, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(_same_core("a", "b"))
-    return links.unionByName(to_hub.where("ok AND a <> hub").select("a", F.col("hub").alias("b")).distinct()).unionByName(among).distinct()
+    hot_left, hot_right = materialise(left.join(heads, "k")), materialise(right.join(heads, "k"))
+    to_hub = hot_left.select(F.col("a").alias("core"), "hub").union(hot_right.select("b", "hub")).distinct()
+    to_hub = to_hub.join(trades, "core").join(trades.select(F.col("core").alias("hub"), F.col("trades").alias("hub_trades")), "hub").where(_agree("trades", "hub_trades"))
+    covered = materialise(to_hub.where(_same_core(F.least("core", "hub"), F.greatest("core", "hub"))).select("core", "hub"))
+    split = lambda side, x, how: side.join(covered.withColumnRenamed("core", x), [x, "hub"], how).select("k", x)
+    bare_a, bare_b = split(hot_left, "a", "left_anti"), split(hot_right, "b", "left_anti")
+    # the entry's names in parts, each with all names that the hub doesn't cover
+    parts = F.explode(F.array(*map(F.lit, range(HOT_PARTS)))).alias("part")
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(HOT_PARTS)).cast("int").alias("part")
+    among = bare_a.select("k", "a", parts).join(hot_right.select("k", "b", part("b")), ["k", "part"]).select("a", "b")
+    among = among.unionByName(split(hot_left, "a", "left_semi").select("k", "a", part("a")).join(bare_b.select("k", "b", parts), ["k", "part"]).select("a", "b"))
+    through = covered.where("core <> hub").select(F.least("core", "hub").alias("a"), F.greatest("core", "hub").alias("b"))
+    return links.unionByName(through).unionByName(verified(among)).distinct()
 
 
 def firm_groups(names: DataFrame) -> DataFrame:
