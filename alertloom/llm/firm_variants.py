@@ -1,8 +1,9 @@
 """Spellings of one organisation, linked (problem 5).
 
 Each cell is read once into the firm's own words, its trade and its place. The
-own words are cut into k+1 segments each and looked up, position-shifted, in an
-inverted index of segments; candidates are verified by banded edit distance.
+own words are cut into k+1 segments each, k being the edits that a word may
+have, and looked up, position-shifted, in an inverted index of segments that
+loses no pair; candidates are verified by banded edit distance.
 Names of initials or of one word only are looked up by their place.
 """
 
@@ -26,6 +27,8 @@ HOT_BLOCK = 200
 HOT_PARTS = 8
 #: A single word of so many letters may be two words joined; from the second number on it must be.
 JOINED, SURELY_JOINED = 9, 13
+#: Letters of a word from which on it may have both edits.
+TWO_EDITS = 6
 
 _PARSED = "name string, node string, kind string, core string, trades array<string>, plot string, pin string, town string"
 
@@ -62,41 +65,68 @@ def read_names(names: DataFrame) -> DataFrame:
     return names.select("name").where("name IS NOT NULL").distinct().mapInPandas(_read, _PARSED)
 
 
-def _halves(word: str, shifted: bool) -> set[str]:
-    """The two segments of a word; as they would lie if its length were one more or less, if shifted."""
-    out = set()
-    for n in (len(word) - 1, len(word), len(word) + 1) if shifted else (len(word),):
-        h = n // 2
-        if h >= 1 and n - h >= 1:
-            out |= {"p" + word[:h], "s" + word[-(n - h) :]}
+def _segments(word: str, k: int) -> set[tuple[int, int, str]]:
+    """(length, number, letters) of the k + 1 segments of a word.
+
+    k edits leave one of them whole, but for a swap across a cut, which spoils
+    two: the segments after each such swap are there as well, with one edit less
+    to come.
+    """
+    n = len(word)
+    at = [n * i // (k + 1) for i in range(k + 2)]
+    out = {(n, i, word[at[i] : at[i + 1]]) for i in range(k + 1)}
+    for j in range(1, k + 1):
+        c = at[j]
+        if 0 < c < n and word[c - 1] != word[c]:
+            w = word[: c - 1] + word[c] + word[c - 1] + word[c + 1 :]
+            # with no edit to come any one segment will do
+            out |= {(n, i, w[at[i] : at[i + 1]]) for i in (range(k + 1) if k > 1 else [j])}
+    return out
+
+
+def _lookups(word: str, k: int, longest: int) -> set[tuple[int, int, str]]:
+    """Where the segments of a word's variants may lie in it: in words of up to k letters less and ``longest`` letters more, shifted by the edits to the left."""
+    m, out = len(word), set()
+    for n in range(max(m - k, 1), m + longest + 1):
+        at, d = [n * i // (k + 1) for i in range(k + 2)], m - n
+        for i in range(k + 1):
+            for s in range(-i, i + 1):
+                if abs(d - s) <= k - i and at[i] + s >= 0 and at[i + 1] + s <= m:
+                    out.add((n, i, word[at[i] + s : at[i + 1] + s]))
     return out
 
 
-def _key(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+def _key(*parts: str | tuple[int, int, str]) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join([x if isinstance(x, str) else f"{x[0]}\x1e{x[1]}\x1e{x[2]}" for x in parts])) - (1 << 63)
 
 
 def _keys(core: str, kind: str, probe: bool) -> set[int]:
-    """Index keys of a name, or the keys under which its variants may stand."""
-    if kind == "two":
-        a, b = core.split(" ")
-        pairs = [(a, b), (b, a)] if probe else [(a, b)]
-        out = {_key(x, y) for u, v in pairs for x in _halves(u, probe) for y in _halves(v, probe)}
-        for u, v in pairs:
-            out |= {_key("1", u, "p" + v[0]), _key("1", u, "s" + v[-1]), _key("2", v, "p" + u[0]), _key("2", v, "s" + u[-1])}
-        return out
-    out = {_key("j", x) for x in _halves(core, probe)}
+    """Index keys of a name, or the keys under which its variants may stand.
+
+    Two words have one edit each ("w": a segment of either), or one word is
+    exact ("x": that word and a segment of the other). As the order of the words
+    doesn't count, keys have none, and only the longer looks up the shorter. All
+    words joined have two edits ("j"); two names of two words don't meet there.
+    """
+    if kind != "two":
+        return {_key("j", x) for x in (_lookups(core, 2, 2) if probe else _segments(core, 2))}
+    a, b = core.split(" ")
     if probe:
-        for at in range(3, len(core) - 2):
-            out |= _keys(f"{core[:at]} {core[at:]}", "two", True)
-    return out
+        pairs = [(x, y) for x in _lookups(a, 1, 1) for y in _lookups(b, 1, 1) if x[0] + y[0] <= len(a) + len(b)]
+        others = [(u, x) for u, v in ((a, b), (b, a)) if len(v) >= TWO_EDITS for x in _lookups(v, 2, 0)]
+        joined = set()
+    else:
+        pairs = [(x, y) for x in _segments(a, 1) for y in _segments(b, 1)]
+        others = [(u, x) for u, v in ((a, b), (b, a)) if len(v) >= TWO_EDITS - 2 for x in _segments(v, 2)]
+        joined = _segments(a + b, 2) | _segments(b + a, 2)
+    return {_key("w", x, y) if x < y else _key("w", y, x) for x, y in pairs} | {_key("x", u, x) for u, x in others} | {_key("j", x) for x in joined}
 
 
 def _emit(probe: bool):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, c, d, s) for c, d, s in zip(pdf["core"], pdf["kind"], pdf["support"]) for k in _keys(c, d, probe)]
-            yield pd.DataFrame(rows, columns=["k", "core", "kind", "support"])
+            rows = [(k, c, s) for c, d, s in zip(pdf["core"], pdf["kind"], pdf["support"]) for k in _keys(c, d, probe)]
+            yield pd.DataFrame(rows, columns=["k", "core", "support"]).iloc[:, : 2 if probe else 3]
 
     return run
 
@@ -109,7 +139,7 @@ def same_core(a: str, b: str) -> bool:
     if len(x) == len(y) == 2:
         for u, v in ((y[0], y[1]), (y[1], y[0])):
             d, e = near(x[0], u, 2), near(x[1], v, 2)
-            if d + e <= 2 and all(n < 2 or len(w) >= 6 for n, w in ((d, x[0]), (e, x[1]))):
+            if d + e <= 2 and all(n < 2 or len(w) >= TWO_EDITS for n, w in ((d, x[0]), (e, x[1]))):
                 return True
         return False
     if len(x) == len(y) == 1:
@@ -134,6 +164,14 @@ def _same_core(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_core(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
+def _perhaps_same(a: str, b: str) -> F.Column:
+    """What two edits with swaps leave true of the joined words: up to four edits without, in either order. Costs less than same_core, which decides."""
+    joined = lambda x: F.translate(x, " ", "")
+    turned = lambda x: F.concat(F.substring_index(x, " ", -1), F.substring_index(x, " ", 1))
+    either = F.when(F.contains(F.col(b), F.lit(" ")), F.levenshtein(joined(a), turned(b), 4)).otherwise(F.levenshtein(turned(a), F.col(b), 4))
+    return (F.levenshtein(joined(a), joined(b), 4) >= 0) | (either >= 0)
+
+
 def fits(short: str, full: str) -> bool:
     """Whether a name of initials, beginnings or one word can stand for a full one."""
     x, y = short.split(" "), full.split(" ")
@@ -176,13 +214,14 @@ def core_links(cores: DataFrame) -> DataFrame:
     """
     trades = cores.select("core", "trades") if "trades" in cores.columns else cores.select("core", F.array().cast("array<string>").alias("trades"))
     cores = cores.select("core", "kind", "support")
-    ddl = "k long, core string, kind string, support long"
-    index = materialise(cores.mapInPandas(_emit(False), ddl))
-    probes = cores.mapInPandas(_emit(True), ddl)
+    index = materialise(cores.mapInPandas(_emit(False), "k long, core string, support long"))
+    probes = cores.mapInPandas(_emit(True), "k long, core string")
     heads = materialise(index.groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("support", "core")).alias("m")).where(F.col("n") > HOT_BLOCK).select("k", F.col("m.core").alias("hub")))
     is_hot = not heads.isEmpty()
+    if is_hot:
+        probes = materialise(probes)
     left, right = probes.select("k", F.col("core").alias("a")), index.select("k", F.col("core").alias("b"))
-    verified = lambda met: met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(_same_core("a", "b"))
+    verified = lambda met: met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where(_perhaps_same("a", "b")).where(_same_core("a", "b"))
     links = verified(left.join(right.join(heads, "k", "left_anti") if is_hot else right, "k"))
     if not is_hot:
         return links
