@@ -2,11 +2,12 @@
 
 A file's schema is a tree: the root's children are the fields of its rows,
 objects and arrays have children of their own. The script between two files is
-the cheapest one of adding, deleting, renaming and moving nodes. Children with
-the same name stay; the rest are matched by minimum-cost assignment, where
-renaming costs what their names, types and contents differ by and never more
-than deleting and adding. The scripts of a feed, one after the other, give each
-field its first name, and with it the projection that is applied to each file.
+the cheapest one of adding, deleting, renaming and moving nodes. Nodes with the
+same path stay; the rest are matched by minimum-cost assignment, where
+renaming costs what their names, types and contents differ by, moving a bit
+more, and neither ever more than deleting and adding. The scripts of a feed,
+one after the other, give each path of each file its first name: the
+projection that is applied to that file.
 """
 
 from __future__ import annotations
@@ -20,17 +21,28 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialise
 
-#: Content features are hashed into so many bins: a summary's size doesn't grow with the file.
+#: Content features are counted in so many bins, like a count-min sketch of one row: a summary's size doesn't grow with the file.
 BINS = 1021
 #: A renamed field is at least so much like the old one.
 LEAST_LIKENESS = 0.37
+#: Taking a node to another parent costs so much besides what its likeness lacks.
+MOVE_COST = 0.25
+#: Between the names of a path: no dot, which a field's name may have itself.
+SEP = "\x1f"
+#: Objects within more objects than this are taken whole.
+DEEPEST = 40
 #: More distinct columns than this are no schema but data in the wrong place.
 MOST_COLUMNS = 2000
+#: Summaries of a feed that are kept parsed at once.
+RECENT = 150
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 
@@ -44,9 +56,22 @@ def rows_of(body: str | None) -> list[dict]:
         for _ in range(3):
             p = json.loads(p) if isinstance(p, str) else p
         rows = p.get("aaData") if isinstance(p, dict) else None
-    except (ValueError, AttributeError):
+    except (ValueError, AttributeError, RecursionError):
         return []
-    return [r for r in rows if isinstance(r, dict)] if isinstance(rows, list) else []
+    rows = [r for r in rows if isinstance(r, dict)] if isinstance(rows, list) else []
+    return _sound(rows) if rows and _SURROGATE.search(body) else rows
+
+
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _sound(v):  # noqa: ANN001, ANN202
+    """The same value, with halves of surrogate pairs that stand alone replaced: no column can hold them."""
+    if isinstance(v, str):
+        return v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(v, dict):
+        return {_sound(k): _sound(x) for k, x in v.items()}
+    return [_sound(x) for x in v] if isinstance(v, list) else v
 
 
 #: Letters and digits by class, for the shape of a value.
@@ -71,7 +96,7 @@ def _binned(features: list[str]) -> dict[str, int]:
 _KINDS = {str: "string", bool: "boolean", int: "integer", float: "decimal", list: "array", dict: "object"}
 
 
-def profile(values: list) -> dict:
+def profile(values: list, depth: int = 1) -> dict:
     """A field's node: type counts (t), values (n), features of its scalars, taken all at once: words (w), shapes (s), how many (k), lengths (l), magnitudes (m); and its children (c)."""
     kinds = Counter(map(type, values))
     kinds.pop(type(None), None)
@@ -87,13 +112,13 @@ def profile(values: list) -> dict:
     texts = [x if isinstance(x, str) else str(x) for x in scalars]
     numbers = [x for x in scalars if isinstance(x, (int, float)) and math.isfinite(x)] if kinds.keys() - {str} else []
     lines = "\n".join(texts).replace("\r", " ") if not any("\n" in x for x in texts) else "\n".join(x.replace("\n", " ").replace("\r", " ") for x in texts)
-    shapes = [x[:24] for x in _RUNS.sub(r"\1", lines.translate(_CLASSES)).split("\n")] if texts else []
+    shapes = _RUNS.sub(r"\1", lines.translate(_CLASSES)).split("\n") if texts else []
     words = _WORDS.findall(lines.lower())
-    if len(words) < len(texts):  # few words: a value without any is known by its shape
-        words += ["#" + x for x, t in zip(shapes, texts) if not _WORDS.search(t.lower())]
+    # a value without any word is known by its shape
+    words += ["#" + x for x, t in zip(shapes, texts) if not _WORDS.search(t.lower())]
     return {
         "t": {_KINDS[k]: n for k, n in kinds.items()}, "n": sum(kinds.values()), "w": _binned(words), "s": _binned(shapes), "k": len(texts),
-        "l": float(sum(min(len(x), 10_000) for x in texts)), "m": sum(math.log10(1 + abs(x)) for x in numbers), "c": {k: profile(v) for k, v in inner.items()},
+        "l": float(sum(map(len, texts))), "m": sum(math.log10(1 + abs(x)) for x in numbers), "c": {k: profile(v, depth + 1) for k, v in inner.items()} if depth < DEEPEST else {},
     }
 
 
@@ -210,50 +235,74 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(old: dict, new: dict, at: str = "", back: dict[str, tuple[set[str], dict]] | None = None) -> list[tuple[str, str, str]]:
+def _nodes(fields: dict, at: str = "") -> dict[str, dict]:
+    """Every node of some subtrees by its path, parents first."""
+    out = {}
+    for k in sorted(fields):
+        out[at + k] = fields[k]
+        out |= _nodes(fields[k]["c"], at + k + SEP)
+    return out
+
+
+def _parent(path: str) -> str:
+    return path.rpartition(SEP)[0]
+
+
+def _leaf(path: str) -> str:
+    return path.rpartition(SEP)[2]
+
+
+def edit_script(old: dict, new: dict, back: dict[str, tuple[set[str], dict]] | None = None) -> list[tuple[str, str, str]]:
     """(change, path, old path): the cheapest script from one schema tree to another.
 
-    Adding and deleting a node cost 1 each, renaming one what its likeness
-    lacks; a node of equal name and type under another parent is moved.
+    Nodes with the same name under the same parents stay. All other nodes, of
+    any depth, are matched by one minimum-cost assignment: adding and deleting
+    a node cost 1 each, renaming one what its likeness lacks, and taking it to
+    another parent MOVE_COST more. What goes or comes with its parent isn't
+    reported again.
     ``back`` has the earlier content of names that were gone for a while, with
     the old names that would be the same field: a name that is more like its own
     past than like what goes is no new name for that.
     """
-    gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-    script: list[tuple[str, str, str]] = []
-    pairs = [(k, k) for k in sorted(old.keys() & new.keys())]
+    gone: dict[str, dict] = {}
+    come: dict[str, dict] = {}
+
+    def part(a: dict, b: dict, at: str) -> None:
+        gone.update(_nodes({k: a[k] for k in a.keys() - b.keys()}, at))
+        come.update(_nodes({k: b[k] for k in b.keys() - a.keys()}, at))
+        for k in sorted(a.keys() & b.keys()):
+            if a[k]["c"] or b[k]["c"]:
+                part(a[k]["c"], b[k]["c"], at + k + SEP)
+
+    part(old, new, "")
+    match: dict[str, str] = {}
     if gone and come:
-        like = [[likeness(g, old[g], c, new[c]) for c in come] for g in gone]
-        for j, c in enumerate(come):
-            same, own = (back or {}).get(c, (None, None))
-            for i, g in enumerate(gone):
-                if own is not None and g not in same and content_likeness(own, new[c]) >= content_likeness(old[g], new[c]):
-                    like[i][j] = 0.0
-        cost = [[1 - x if x >= LEAST_LIKENESS else 2.0 for x in row] + [1.0 if i == j else 2.0 for j in range(len(gone))] for i, row in enumerate(like)]
-        for g, j in zip(gone, assign(cost)):
-            if j < len(come) and like[gone.index(g)][j] >= LEAST_LIKENESS:
-                pairs.append((g, come[j]))
-                script.append(("renamed", at + come[j], at + g))
-    kept = {a for a, _ in pairs}, {b for _, b in pairs}
-    script += [("removed", at + g, "") for g in gone if g not in kept[0]] + [("added", at + c, "") for c in come if c not in kept[1]]
-    for a, b in pairs:
-        if old[a]["c"] or new[b]["c"]:
-            script += edit_script(old[a]["c"], new[b]["c"], f"{at}{b}.")
-    if not at:
-        script = _moves(script)
-    return script
-
-
-def _moves(script: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    leaf = lambda path: path.rsplit(".", 1)[-1]
-    out = list(script)
-    for change, path, _ in script:
-        if change == "removed":
-            to = next((x for x in out if x[0] == "added" and leaf(x[1]) == leaf(path) and x[1].rpartition(".")[0] != path.rpartition(".")[0]), None)
-            if to:
-                out.remove((change, path, ""))
-                out[out.index(to)] = ("moved", to[1], path)
-    return out
+        left, right = list(gone), list(come)
+        price = []
+        for g in left:
+            row = []
+            for c in right:
+                x = likeness(_leaf(g), gone[g], _leaf(c), come[c])
+                same, own = (back or {}).get(c, (None, None))
+                if own is not None and g not in same and content_likeness(own, come[c]) >= content_likeness(gone[g], come[c]):
+                    x = 0.0
+                u, v = _parent(g), _parent(c)
+                x -= MOVE_COST * (u != v and not (u in gone and v in come))
+                row.append(1 - x if x >= LEAST_LIKENESS else 2.0)
+            price.append(row + [1.0 if i == len(price) else 2.0 for i in range(len(left))])
+        match = {left[i]: right[j] for i, j in enumerate(assign(price)) if j < len(right) and price[i][j] < 2.0}
+    found = set(match.values())
+    script = []
+    for g, c in match.items():
+        u, v = _parent(g), _parent(c)
+        if match.get(u, u) != v:
+            script.append(("moved", c, g))
+        elif _leaf(g) != _leaf(c):
+            script.append(("renamed", c, g))
+    goes = lambda path: path in gone and path not in match
+    comes = lambda path: path in come and path not in found
+    script += [("removed", g, "") for g in gone if goes(g) and not goes(_parent(g))]
+    return script + [("added", c, "") for c in come if comes(c) and not comes(_parent(c))]
 
 
 def outline(fields: dict) -> dict:
@@ -261,30 +310,58 @@ def outline(fields: dict) -> dict:
     return {f: [type_of(n), outline(n["c"])] if n["c"] else [type_of(n)] for f, n in fields.items()}
 
 
-_SUMMARY = "file_id long, tab string, feed string, month_no int, fetched_at string, n_rows long, outline string, schema string"
+def leaves(row: dict, at: str = "", depth: int = 1) -> Iterator[tuple[str, object]]:
+    """(path, value) of everything in a row that is not null: objects are gone into, arrays and empty objects are values."""
+    for k, v in row.items():
+        if isinstance(v, dict) and v and depth < DEEPEST:
+            yield from leaves(v, at + k + SEP, depth + 1)
+        elif v is not None:
+            yield at + k, v
+
+
+def _kinds(rows: list[dict]) -> dict[str, list[str]]:
+    """The kinds of values each leaf has; whole numbers that a double can't hold are long, those beyond 64 bits only text can."""
+    out: dict[str, set[str]] = {}
+    for r in rows:
+        for path, v in leaves(r):
+            kind = _KINDS[type(v)]
+            if kind == "integer" and abs(v) > 1 << 53:
+                kind = "long" if abs(v) < 1 << 63 else "string"
+            out.setdefault(path, set()).add(kind)
+    return {path: sorted(kinds) for path, kinds in out.items()}
+
+
+_SUMMARY = "file_key long, file_id long, tab string, feed string, month_no int, fetched_at string, n_rows long, outline string, schema string, kinds string"
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for i, tab, feed, month, at, body in zip(pdf["file_id"], pdf["tab"], pdf["feed"], pdf["month"], pdf["fetched_at"], pdf["body"]):
+        for key, i, tab, feed, month, at, body in zip(*(pdf[c] for c in ("file_key", "file_id", "tab", "feed", "month", "fetched_at", "body"))):
             m = re.match(r"\s*([A-Za-z]{3})[A-Za-z]*[-/ ](\d{4})", month) if isinstance(month, str) else None
             no = int(m[2]) * 12 + MONTHS[m[1].lower()] - 1 if m and m[1].lower() in MONTHS else None
             rows = rows_of(body)
             fields = tree(rows)
-            out.append((i, tab, feed, no, at, len(rows), json.dumps(outline(fields)), json.dumps(fields)))
-        yield pd.DataFrame(out, columns=["file_id", "tab", "feed", "month_no", "fetched_at", "n_rows", "outline", "schema"]).astype({"month_no": "Int32"})
+            out.append((key, None if pd.isna(i) else int(i), tab, feed, no, at, len(rows), *(json.dumps(x) for x in (outline(fields), fields, _kinds(rows)))))
+        yield pd.DataFrame(out, columns=["file_key", "file_id", "tab", "feed", "month_no", "fetched_at", "n_rows", "outline", "schema", "kinds"]).astype({"month_no": "Int32", "file_id": "Int64"})
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """The columns of files that matter, with a key that tells any two different files apart, whatever their ids."""
+    own = files.select("file_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("tab", "feed")], "month", F.col("fetched_at").cast("string").alias("fetched_at"), "body")
+    return own.withColumn("file_key", F.xxhash64("file_id", "tab", "feed", "month", "fetched_at", "body"))
 
 
 def summarise(files: DataFrame) -> DataFrame:
-    """One row per file with its schema tree and bounded content features. Bodies are read here only."""
-    return files.select("file_id", "tab", "feed", "month", F.col("fetched_at").cast("string"), "body").where("file_id IS NOT NULL").mapInPandas(_summarise, _SUMMARY)
+    """One row per file with its schema tree and bounded content features. A null tab or feed is one without a name."""
+    return _keyed(files).mapInPandas(_summarise, _SUMMARY)
 
 
 def monthly(summaries: DataFrame) -> DataFrame:
     """Of each month of a feed the last fetch with rows; snapshots are left out. As many rows per feed as months at most."""
-    own = summaries.where("month_no IS NOT NULL AND n_rows > 0")
-    return own.groupBy("tab", "feed", "month_no").agg(F.max(F.struct("fetched_at", "file_id", "outline", "schema")).alias("x")).select("tab", "feed", "month_no", "x.file_id", "x.outline", "x.schema")
+    own = summaries.where("month_no IS NOT NULL AND n_rows > 0 AND file_id IS NOT NULL")
+    last = F.max(F.struct("fetched_at", "file_id", "file_key", "outline", "schema")).alias("x")
+    return own.groupBy("tab", "feed", "month_no").agg(last).select("tab", "feed", "month_no", "x.fetched_at", "x.file_id", "x.file_key", "x.outline", "x.schema")
 
 
 def merge(old: dict, new: dict) -> dict:
@@ -299,128 +376,226 @@ def merge(old: dict, new: dict) -> dict:
     return out | {k: old[k] + new[k] for k in ("n", "l", "m", "k")}
 
 
+def _paths(line: dict, at: str = "") -> Iterator[tuple[str, str | None]]:
+    """(path, type) of each node of an outline, parents first."""
+    for f, x in line.items():
+        yield at + f, x[0]
+        if len(x) > 1:
+            yield from _paths(x[1], at + f + SEP)
+
+
+def first_names(line: dict, script: list[tuple[str, str, str]], before: dict[str, str], beside: bool = False) -> dict[str, str]:
+    """The first name of each path of a file, from its script against a file whose first names are ``before``.
+
+    No two paths of a file have one first name: what goes on keeps its own
+    before what is new; in a file ``beside`` the monthly sequence a field that
+    bears a first name has it before one that only goes on. The other has its
+    present name, numbered if that is taken too.
+    """
+    was = {path: old for change, path, old in script if change in ("renamed", "moved")}
+    added = {path for change, path, _ in script if change == "added"}
+    wish = lambda path: before.get(was.get(path, path))
+    rank = lambda path: (path.count(SEP), 0 if beside and (wish(path) or path) == path else 2 if path in added else 1, path)
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    for path in sorted((path for path, _ in _paths(line)), key=rank):
+        up = _parent(path)
+        own = wish(path) or (out[up] + SEP + _leaf(path) if up else path)
+        first, n = own if own not in taken else path, 2
+        while first in taken:
+            first, n = f"{own}_{n}", n + 1
+        taken.add(first)
+        out[path] = first
+    return out
+
+
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The changes along one feed, and the first name of every field of each file."""
+    """The changes along one feed, and the first name of every path of each file."""
     out: list[tuple] = []
     root: dict[str, str] = {}
     typed: dict[str, str] = {}
     held: dict[str, list[tuple[int, str]]] = {}
-    ids, outlines, schemas = pdf.sort_values("month_no")[["file_id", "outline", "schema"]].values.T
+    summed: dict[str, tuple[int, dict]] = {}
+    ids, keys, outlines, schemas = pdf.sort_values("month_no")[["file_id", "file_key", "outline", "schema"]].values.T
     lines = [json.loads(x) for x in outlines]
-    full = lru_cache(None)(lambda n: json.loads(schemas[n]))
+    full = lru_cache(RECENT)(lambda n: json.loads(schemas[n]))
     within = lambda line: line[1] if len(line) > 1 else {}
 
     def past(f: str) -> dict:
-        return reduce(merge, (full(n)[name] for n, name in held[root[f]]))
+        """What a field has held so far; what was summed up before is kept."""
+        n, own = summed.get(root[f], (0, None))
+        for k, name in held[root[f]][n:]:
+            own = full(k)[name] if own is None else merge(own, full(k)[name])
+        summed[root[f]] = len(held[root[f]]), own
+        return own
 
     def ahead(n: int, f: str) -> dict:
         """What a field holds from a file on, as long as its name goes on."""
         last = next((k for k in range(n, len(lines)) if f not in lines[k]), len(lines))
         return reduce(merge, (full(k)[f] for k in range(last - 1, n - 1, -1)))
 
-    for n, (i, now) in enumerate(zip(ids, lines)):
+    for n, (i, key, now) in enumerate(zip(ids, keys, lines)):
         script = []
         if n:
             before = lines[n - 1]
             both = before.keys() & now.keys()
             inner = {f for f in both if within(before[f]) != within(now[f])}
-            drift = before.keys() - both and now.keys() - both
+            drift = (before.keys() - both or inner) and (now.keys() - both or inner)
             stub = {"c": {}}
             old = {f: full(n - 1)[f] if f in inner else stub if f in both or not drift else past(f) for f in before}
             new = {f: full(n)[f] if f in inner else stub if f in both or not drift else ahead(n, f) | {"c": full(n)[f]["c"]} for f in now}
             back = {c: ({g for g in before if root[g] == root[c]}, past(c)) for c in now.keys() - both if drift and c in root}
             script = edit_script(old, new, back=back)
         for change, path, was in script:
-            out.append((i, change, path, was))
-            if change == "renamed" and path in now:
-                root[path] = root.get(was, was)
-        for f, line in now.items():
-            root.setdefault(f, f)
-            kind = line[0]
-            if kind:
-                if typed.get(root[f], kind) != kind:
-                    out.append((i, "retyped", f, ""))
-                typed[root[f]] = kind
-            held.setdefault(root[f], []).append((n, f))
-            out.append((i, "field", f, root[f]))
-    own = pd.DataFrame(out, columns=["file_id", "change", "field", "old_field"])
+            out.append((i, key, change, path, was))
+        names = first_names(now, script, root)
+        root |= names
+        for path, kind in _paths(now):
+            if SEP not in path:
+                if kind:
+                    if typed.get(root[path], kind) != kind:
+                        out.append((i, key, "retyped", path, ""))
+                    typed[root[path]] = kind
+                held.setdefault(root[path], []).append((n, path))
+            out.append((i, key, "field", path, root[path]))
+    own = pd.DataFrame(out, columns=["file_id", "file_key", "change", "field", "old_field"])
     own.insert(0, "tab", pdf["tab"].iloc[0])
     own.insert(1, "feed", pdf["feed"].iloc[0])
     return own
 
 
+_SCRIPTS = "tab string, feed string, file_id long, file_key long, change string, field string, old_field string"
+
+
 def feed_scripts(summaries: DataFrame) -> DataFrame:
-    """(tab, feed, file_id, change, field, old_field): the scripts of all files, and a ``field`` row with the first name of each field.
+    """(tab, feed, file_id, file_key, change, field, old_field): the scripts of all files, and a ``field`` row with the first name of each path.
 
     A feed's summaries are read in order by one task; they are bounded by the
     calendar, whatever share of all files or rows the feed holds.
     """
-    return monthly(summaries).groupBy("tab", "feed").applyInPandas(_follow, "tab string, feed string, file_id long, change string, field string, old_field string")
+    return monthly(summaries).groupBy("tab", "feed").applyInPandas(_follow, _SCRIPTS)
 
 
 def schema_changes(files: DataFrame, nested: bool = False) -> DataFrame:
     """(file_id, change, field, old_field): each change of a file against the one of the preceding month of its feed.
 
     ``change`` is added, removed, renamed, retyped, or, with ``nested``, moved;
-    paths within objects are given then too. Snapshots and files without rows
-    have no part in it; an empty table gives no rows.
+    paths within objects are given then too, with dots. Without it a field that
+    came out of an object is added, and one that went into an object removed.
+    Snapshots and files without rows have no part in it; an empty table gives
+    no rows.
     """
     out = feed_scripts(summarise(files)).where("change <> 'field'").select("file_id", "change", "field", "old_field")
-    return out if nested else out.where("NOT contains(field, '.') AND change <> 'moved'")
+    if nested:
+        dots = lambda c: F.translate(c, SEP, ".").alias(c)
+        return out.select("file_id", "change", dots("field"), dots("old_field"))
+    moved = F.col("change") == "moved"
+    ends = F.array(F.struct(F.when(moved, "added").otherwise(F.col("change")).alias("change"), F.col("field"), F.when(moved, "").otherwise(F.col("old_field")).alias("old_field")), F.when(moved, F.struct(F.lit("removed").alias("change"), F.col("old_field").alias("field"), F.lit("").alias("old_field"))))
+    return out.select("file_id", F.explode(F.array_compact(ends)).alias("x")).select("file_id", "x.*").where(~F.contains("field", F.lit(SEP)))
 
 
-def field_names(files: DataFrame) -> DataFrame:
-    """(tab, feed, field, first): every name a feed has used, with the first name of that field.
-
-    A name that stood for two fields in turn goes with the later one.
+def _other_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for key, line, schema, base_line, base_schema, base_names in zip(*(pdf[c] for c in ("file_key", "outline", "schema", "base_outline", "base_schema", "base_names"))):
+            now = json.loads(line)
+            script: list[tuple[str, str, str]] = []
+            names: dict[str, str] = {}
+            if isinstance(base_line, str):
+                names = dict(base_names)
+                if json.loads(base_line) != now:
+                    script = edit_script(json.loads(base_schema), json.loads(schema))
+            out += [(key, path, first) for path, first in first_names(now, script, names, True).items()]
+        yield pd.DataFrame(out, columns=["file_key", "field", "first"])
+
+
+def file_names(summaries: DataFrame) -> DataFrame:
+    """(file_key, field, first): the first name of every path of every file that has rows, its own script compiled.
+
+    Files that stand beside the monthly sequence (superseded fetches, snapshots,
+    months that can't be read) have a script of their own against the file of
+    the same month or, without a month, the latest month fetched by then.
+    ``summaries`` must be materialised: it is read several times.
     """
-    scripts = feed_scripts(summarise(files)).where("change = 'field'")
-    return scripts.groupBy("tab", "feed", "field").agg(F.max_by("old_field", "file_id").alias("first"))
+    main = monthly(summaries)
+    followed = materialise(main.groupBy("tab", "feed").applyInPandas(_follow, _SCRIPTS).where("change = 'field'").select("file_key", "field", F.col("old_field").alias("first")))
+    others = summaries.where("n_rows > 0").join(main.select("file_key"), "file_key", "left_anti").dropDuplicates(["file_key"])
+    # which file each is compared with: as many rows as a feed has months for each, of a few numbers only
+    small = others.select("file_key", "tab", "feed", "month_no", "fetched_at")
+    months = main.select("tab", "feed", F.col("month_no").alias("m"), F.col("fetched_at").alias("at"), F.col("file_key").alias("base"))
+    rank = F.struct(F.col("m").eqNullSafe(F.col("month_no")).alias("same"), F.coalesce(F.col("at") <= F.col("fetched_at"), F.lit(False)).alias("known"), F.when(F.coalesce(F.col("at") <= F.col("fetched_at"), F.lit(False)), F.col("m")).otherwise(-F.col("m")).alias("m"), F.col("base"))
+    chosen = small.join(months, ["tab", "feed"]).groupBy("file_key").agg(F.max(rank).alias("x")).select("file_key", F.col("x.base").alias("base"))
+    maps = followed.groupBy(F.col("file_key").alias("base")).agg(F.map_from_entries(F.collect_list(F.struct("field", "first"))).alias("base_names"))
+    bases = main.select(F.col("file_key").alias("base"), F.col("outline").alias("base_outline"), F.col("schema").alias("base_schema")).join(maps, "base")
+    beside = others.select("file_key", "outline", "schema").join(chosen, "file_key", "left").join(bases, "base", "left")
+    return followed.unionByName(beside.drop("base").mapInPandas(_other_names, "file_key long, field string, first string"))
+
+
+def _maps(names: DataFrame) -> DataFrame:
+    return names.groupBy("file_key").agg(F.map_from_entries(F.collect_list(F.struct("field", "first"))).alias("names"))
 
 
 def field_values(files: DataFrame, field: str) -> DataFrame:
-    """(file_id, value): the values of one field in all files, snapshots too, under whatever name it is published."""
-    names = field_names(files).where(F.col("first") == field).groupBy("tab", "feed").agg(F.collect_set("field").alias("names"))
+    """(file_id, value): the string values of one field in all files, snapshots too, under whatever name it is published."""
+    names = file_names(materialise(summarise(files))).where(F.col("first") == field)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, body, known in zip(pdf["file_id"], pdf["body"], pdf["names"]):
-                keys = [field] if known is None else list(known)
-                out += [(i, v) for r in rows_of(body) for k in keys if isinstance(v := r.get(k), str)]
-            yield pd.DataFrame(out, columns=["file_id", "value"])
+            for i, body, path in zip(pdf["file_id"], pdf["body"], pdf["field"]):
+                out += [(i, v) for r in rows_of(body) for p, v in (leaves(r) if SEP in path else [(path, r.get(path))]) if p == path and isinstance(v, str)]
+            yield pd.DataFrame(out, columns=["file_id", "value"]).astype({"file_id": "Int64"})
 
-    return files.select("file_id", "tab", "feed", "body").join(names, ["tab", "feed"], "left").mapInPandas(read, "file_id long, value string")
+    return _keyed(files).select("file_id", "file_key", "body").join(names, "file_key").mapInPandas(read, "file_id long, value string")
 
 
-def one_table(files: DataFrame) -> DataFrame:
-    """All rows of all files under the first names of their fields: file_id, row_no and one string column per field.
+#: The type of a column by the kinds of its values over all files; any others come as text.
+_TYPES = {("integer",): T.LongType(), ("long",): T.LongType(), ("integer", "long"): T.LongType(), ("decimal",): T.DoubleType(), ("decimal", "integer"): T.DoubleType(), ("boolean",): T.BooleanType()}
+
 
-    Values that aren't strings come as JSON text; a field that a file lacks is
-    null. A field called like a key column keeps its name with a trailing
-    underscore.
+def one_table(files: DataFrame) -> DataFrame:
+    """All rows of all files under the first names of their fields: file_id, row_no and one column per leaf.
+
+    Each file is read through its own script: renamed and moved fields go to
+    the column of their first name, those within objects have a path with
+    dots. A column whose values are numbers or booleans in all files has that
+    type; otherwise strings stay as they are, and other values come as JSON
+    text. A field that a file lacks is null; every value of every readable body
+    is in the table. Of columns whose names differ by case only, or are called
+    like a key column, the later ones get trailing underscores. Unreadable and
+    empty bodies have no rows.
     """
-    names = materialise(field_names(files))
-    firsts = [r["first"] for r in names.select("first").distinct().orderBy("first").limit(MOST_COLUMNS + 1).collect()]
-    if len(firsts) > MOST_COLUMNS:
+    summaries = materialise(summarise(files))
+    names = materialise(file_names(summaries))
+    kinds = summaries.select("file_key", F.explode(F.from_json("kinds", "map<string,array<string>>")).alias("field", "kinds")).join(names, ["file_key", "field"], "left")
+    columns = kinds.groupBy(F.coalesce("first", "field").alias("first")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds")).orderBy("first")
+    own = columns.limit(MOST_COLUMNS + 1).collect()
+    if len(own) > MOST_COLUMNS:
         raise ValueError(f"the files have more than {MOST_COLUMNS} fields")
-    columns = [f + "_" if f in ("file_id", "row_no") else f for f in firsts]
-    maps = names.groupBy("tab", "feed").agg(F.map_from_entries(F.collect_list(F.struct("field", "first"))).alias("names"))
-    place = {f: i for i, f in enumerate(firsts)}
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, body, known in zip(pdf["file_id"], pdf["body"], pdf["names"]):
-                own = dict(known) if known is not None else {}
+    schema = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("row_no", T.IntegerType())])
+    place, taken = {}, {"file_id", "row_no"}
+    for r in own:
+        name = r["first"].replace(SEP, ".")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        place[r["first"]] = len(schema)
+        schema = schema.add(name, _TYPES.get(tuple(r["kinds"]), T.StringType()))
+    texts = {n for n, f in enumerate(schema) if isinstance(f.dataType, T.StringType)}
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data: list[list] = [[] for _ in arrow]
+            for i, body, known in zip(*(batch.column(c).to_pylist() for c in ("file_id", "body", "names"))):
+                own = dict(known or ())
                 for n, r in enumerate(rows_of(body)):
-                    row: list = [i, n] + [None] * len(firsts)
-                    for k, v in r.items():
-                        at = place.get(own.get(k, k))
-                        if at is not None and v is not None:
-                            row[at + 2] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
-                    out.append(row)
-            yield pd.DataFrame(out, columns=["file_id", "row_no", *columns])
-
-    ddl = ", ".join(["file_id long", "row_no int", *(f"`{c}` string" for c in columns)])
-    return files.select("file_id", "tab", "feed", "body").join(maps, ["tab", "feed"], "left").mapInPandas(read, ddl)
+                    row: list = [i, n] + [None] * (len(arrow) - 2)
+                    for path, v in leaves(r):
+                        at = place[own.get(path, path)]
+                        row[at] = json.dumps(v, ensure_ascii=False, sort_keys=True) if at in texts and not isinstance(v, str) else v
+                    for column, v in zip(data, row):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(data, arrow)], schema=arrow)
+
+    return _keyed(files).select("file_id", "file_key", "body").join(_maps(names), "file_key", "left").select("file_id", "body", "names").mapInArrow(read, schema)

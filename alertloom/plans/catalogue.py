@@ -387,3 +387,19 @@ def p1_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All portal rows in one table under the first names of their fields."""
     return one_table(table(spark, sf_dir, FILES))
+
+
+_LEAF = "t.type <> 'NULL' AND (t.type <> 'OBJECT' OR t.value::VARCHAR = '{}') AND NOT contains(t.fullkey, '[')"
+
+
+@query(
+    "p1_values",
+    f"""WITH f AS (SELECT file_id, unnest(from_json({_PAYLOAD}->'$.aaData', '["JSON"]')) AS r FROM portal_files)
+    SELECT file_id, count(DISTINCT f.n)::BIGINT AS n_rows, count(t.id) FILTER ({_LEAF})::BIGINT AS n_values FROM (SELECT file_id, r, row_number() OVER () AS n FROM f) f, json_tree(f.r) t GROUP BY 1""",
+)
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows and values of each file are in the one table: all that its body has."""
+    own = p1_table(spark, sf_dir)
+    columns = [F.col(f"`{c}`") for c in own.columns if c not in ("file_id", "row_no")]
+    filled = [c.isNotNull().cast("long") for c in columns]
+    return own.groupBy("file_id").agg(F.count("*").alias("n_rows"), F.sum(sum(filled[1:], filled[0]) if filled else F.lit(0)).cast("long").alias("n_values"))

@@ -69,7 +69,57 @@ def test_one_table(spark):
     got = S.one_table(spark.createDataFrame(files, SCHEMA))
     assert set(got.columns) == {"file_id", "row_no", "str_product_name", "str_batch_no", "srno", "file_id_"}
     rows = got.collect()
-    assert len(rows) == 5 and all(r["str_product_name"] for r in rows) and {r["file_id_"] for r in rows} == {None, "[1]"}
+    assert len(rows) == 5 and all(r["str_product_name"] for r in rows) and {r["file_id_"] for r in rows} == {None, "[1]"} and dict(got.dtypes)["srno"] == "bigint"
+
+
+def table_values(spark, files):
+    """Every value of the one table by file and column, and of the bodies."""
+    got = S.one_table(spark.createDataFrame(files, SCHEMA))
+    held = [(r["file_id"], c, r[c]) for r in got.collect() for c in got.columns if c not in ("file_id", "row_no") and r[c] is not None]
+    return held, sum(1 for f in files for r in S.rows_of(f[5]) for _ in S.leaves(r))
+
+
+def test_no_value_of_any_readable_body_is_lost(spark):
+    odd = [{"A": 1, "a": "x", "x.y": 2, "x": {"y": 3, "z": {}}, "o": [{"p": 1}], "big": 1 << 80, "n": (1 << 53) + 1, "f": 0.5}, {"f": 2, "s": "\ud800"}]
+    files = [
+        file(1, "Jan-2020", month_rows()),
+        file(2, "Feb-2020", month_rows(only_superseded="u"), fetched="2020-01"),
+        file(3, "Feb-2020", month_rows("product_name"), fetched="2020-02"),
+        file(4, None, month_rows(only_snapshot="v")),
+        file(5, "no month", odd, feed="g"),
+        file(6, "Mar-2020", month_rows("product_name", str_product_name="again")),
+        (None, None, None, "Apr-2020", None, json.dumps({"payload": {"aaData": [{"k": 1}]}})),
+        (7, "nsq", "f", "May-2020", "x", "no json"),
+        file(1, "Jan-2020", [{"other": "same id"}]),
+    ]
+    held, n = table_values(spark, files)
+    assert len(held) == n
+    assert {c for i, c, _ in held if i == 5} == {"A", "a_", "x.y", "x.y_", "x.z", "o", "big", "n", "f", "s"}
+    assert {v for i, c, v in held if c == "only_superseded"} == {"u"} and {v for i, c, v in held if c == "only_snapshot"} == {"v"}
+    assert {(i, v) for i, c, v in held if c == "str_product_name_2" or v == "again"} == {(6, "again")}
+    assert S.one_table(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_moved_fields_keep_their_column(spark):
+    makers = [f"{w} {v}" for w in ("Foo", "Bar", "Baz", "Qux") for v in ("Works", "House")]
+    files = [file(1, "Jan-2020", month_rows(info=lambda i: {"maker": makers[i % 8], "pin": i})), file(2, "Feb-2020", month_rows(info=lambda i: {"pin": i}, maker=lambda i: makers[i % 8]))]
+    assert (2, "moved", "maker", "info.maker") in changes(spark, files, nested=True)
+    assert changes(spark, files) == [(2, "added", "maker", "")]
+    held, n = table_values(spark, files)
+    assert len(held) == n and sum(c == "info.maker" for _, c, _ in held) == 16
+
+
+def test_a_file_is_read_through_its_own_script(spark):
+    # a name that stood for two fields in turn
+    batch = lambda i: f"Q{i}/{i * 71 % 1000:04d}"
+    files = [
+        file(1, "Jan-2020", month_rows()),
+        file(2, "Feb-2020", month_rows("product_name")),
+        file(3, "Mar-2020", month_rows("product_name", str_product_name=batch)),
+    ]
+    held, n = table_values(spark, files)
+    own = {i: {v for f, c, v in held if f == i and c == "str_product_name"} for i in (1, 2, 3)}
+    assert len(held) == n and own[1] == own[2] == own[3] == set(names("X"))
 
 
 def test_values_under_any_name(spark):
