@@ -117,19 +117,23 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that use abusive, hateful or sexual language themselves."""
-    return present(score_documents(table(spark, sf_dir, "documents")))
+    return present(_scored(spark, sf_dir))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of every document."""
-    return score_documents(table(spark, sf_dir, "documents"))
+    return _scored(spark, sf_dir)
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each source's documents with such language."""
-    return source_rates(score_documents(table(spark, sf_dir, "documents")))
+    return source_rates(_scored(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
