@@ -53,20 +53,28 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def materialise(df: DataFrame, *by: str) -> DataFrame:
+    """Write a frame to the shared folder, parted by columns if any are given, and read it back.
 
     Cuts the lineage, survives the loss of executors, and keeps an expensive
     frame that is used more than once from being computed again.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def written_at(df: DataFrame) -> str:
+    """The full address of a materialised frame's files, for readers outside the session."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + at[5:] if at.startswith("file:/") and not at.startswith("file:///") else at
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more; other frames are left alone."""
     for df in frames:
