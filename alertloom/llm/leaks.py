@@ -17,18 +17,25 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise, written_at
+from .firm_variants import _lookups, _segments
 from .mentions import near
 
 #: Words of a searched phrase: a stretch of 20 words of which three differ still has a run of them.
 PHRASE = 4
 #: A document holds a stretch of at least so many of an item's words, or the whole item, so much of it alike.
 LEAST_WORDS, LEAST_ALIKE = 20, 0.82
+#: Of a stretch that goes on less alike, so much of a part of it is alike.
+VERBATIM = 0.95
+#: Letters from which on a word may have a slip, and may have two; longer words have none.
+SHORTEST, LONG, LONGEST = 4, 8, 60
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 400_000
-#: Characters of the items searched for at once.
+#: Characters of the items of a block.
 BLOCK_CHARS = 8_000_000
 SAMPLE = 8
 _TOKEN = re.compile(r"[^\W_]+")
@@ -124,20 +131,24 @@ class FMIndex:
         return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text."""
+    return [w.lower() for w in _TOKEN.findall(text)]
+
+
 class Phrases:
-    """The items' words, numbered, and all their phrases."""
+    """The items of a block: their words and all their phrases, numbered by a common vocabulary."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int]) -> None:
         self.ids, self.words, self.places = [], [], []
-        vocabulary: dict[str, int] = {}
         where: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             words, own, last, n = [], [], 0, -1
-            for t in _TOKEN.finditer(text.lower()):
+            for t in _TOKEN.finditer(text):
                 if n < 0 or re.search(r"\s", text[last : t.start()]):
                     n += 1
                 last = t.end()
-                words.append(t[0])
+                words.append(t[0].lower())
                 own.append(n)
             if not words:
                 continue
@@ -145,47 +156,125 @@ class Phrases:
             self.ids.append(item)
             self.words.append(words)
             self.places.append(own)
-            nums = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
+            nums = [vocabulary[w] for w in words]
             size = min(PHRASE, len(nums))
             for p in range(len(nums) - size + 1):
                 where[tuple(nums[p : p + size])].append((k, p))
-        self.vocabulary = vocabulary
-        self.where = list(where.items())
+        groups: dict[int, list] = defaultdict(list)
+        for phrase, at in where.items():
+            groups[len(phrase)].append((phrase, at))
+        self.groups = [(np.array([x for x, _ in own], np.int64), [at for _, at in own]) for own in groups.values()]
+
+
+class Vocabulary(dict):
+    """The numbers of all items' words, and of slips of them: 0 is a word that is like none.
+
+    Words to which another may be alike are found by its segments, cut and
+    shifted as two edits need it.
+    """
+
+    def __init__(self, words: set[str]) -> None:
+        super().__init__((w, n) for n, w in enumerate(sorted(words), 1))
+        self.size = len(self)
+        self.segments: dict[tuple[int, int, str], list[str]] = defaultdict(list)
+        for w in self:
+            if len(w) >= SHORTEST and not w[0].isdigit():
+                for x in _segments(w, 1 if len(w) < LONG else 2):
+                    self.segments[x].append(w)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.size + (1 << 20):  # what has been looked up may be looked up again
+            for w in list(self)[self.size :]:
+                del self[w]
+        self[word] = out = self._nearest(word)
+        return out
+
+    def _nearest(self, word: str) -> int:
+        if not SHORTEST <= len(word) <= LONGEST or any(c.isdigit() for c in word):
+            return 0
+        found = {w for k in ((1,) if len(word) < LONG else (1, 2)) for x in _lookups(word, k, k) if x in self.segments for w in self.segments[x]}
+        near_ones = [w for w in found if alike(word, w)]
+        return self[min(near_ones)] if near_ones else 0
+
+
+@lru_cache(1 << 18)
+def _slip(a: str, b: str) -> bool:
+    k = 1 if len(a) < LONG else 2
+    return near(a, b, k) <= k
 
 
 def alike(a: str, b: str) -> bool:
     """Equal words, or long ones with a slip of typing."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or a[0].isdigit():
+    n, m = len(a), len(b)
+    if n < SHORTEST or m < SHORTEST or abs(n - m) > 2 or a[0].isdigit() or n > LONGEST:
         return False
-    k = 1 if len(a) < 8 else 2
-    return near(a, b, k) <= k
+    return _slip(a, b)
 
 
-def extend(a: list[str], i: int, b: list[str], j: int, step: int, band: int = 3, drop: int = 6) -> tuple[int, int, int, int]:
-    """Greedy alignment from (i, j) on: (end in a, end in b, matches, errors) at its best score (a match 1, an error -2)."""
-    score = best = matches = errors = 0
+#: The ways past a difference, (words in a, words in b): a replaced word first.
+_WAYS = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda p: (max(p), abs(p[0] - p[1])))
+#: A stretch ends where its score has fallen so far below its best.
+DROP = 6
+
+
+def extend(a: list[str], i: int, b: list[str], j: int, step: int, trace: list[tuple[int, int, int]] | None = None) -> tuple[int, int, int, int]:
+    """Greedy alignment from (i, j) on: (end in a, end in b, matches, errors) at its best score (a match 1, an error -2).
+
+    ``trace`` gets (word of a, word of b, errors just before) of every match.
+    """
+    score = best = matches = errors = since = 0
     top = (i, j, 0, 0)
-    while 0 <= i < len(a) and 0 <= j < len(b):
-        if alike(a[i], b[j]):
-            i, j, matches, score = i + step, j + step, matches + 1, score + 1
+    n, m = len(a), len(b)
+    while 0 <= i < n and 0 <= j < m:
+        x, y = a[i], b[j]
+        if x == y or alike(x, y):
+            if trace is not None:
+                trace.append((i, j, since))
+            i, j, matches, score, since = i + step, j + step, matches + 1, score + 1, 0
             if score > best:
                 best, top = score, (i, j, matches, errors)
             continue
-        if best - score >= drop:
+        if best - score >= DROP:
             break
-        # the cheapest way to two words in a row that agree again; a replaced word first
-        for x, y in sorted(((x, y) for x in range(band + 1) for y in range(band + 1) if x + y), key=lambda p: (max(p), abs(p[0] - p[1]))):
+        # the cheapest way to two words in a row that agree again
+        for x, y in _WAYS:
             p, q = i + x * step, j + y * step
-            if 0 <= p < len(a) and 0 <= q < len(b) and alike(a[p], b[q]) and (not (0 <= p + step < len(a) and 0 <= q + step < len(b)) or alike(a[p + step], b[q + step])):
-                i, j, errors, score = p, q, errors + max(x, y), score - 2 * max(x, y)
-                break
+            if 0 <= p < n and 0 <= q < m and alike(a[p], b[q]):
+                u, v = p + step, q + step
+                if not (0 <= u < n and 0 <= v < m) or alike(a[u], b[v]):
+                    lost = max(x, y)
+                    i, j, errors, score, since = p, q, errors + lost, score - 2 * lost, since + lost
+                    break
         else:
             break
     return top
 
 
+def verbatim(doc: list[str], item: list[str], places: list[int], p: int, q: int) -> tuple[int, int] | None:
+    """The longest part of the stretch around (p, q), of LEAST_WORDS item words or more, of which VERBATIM are alike: (first, end) in the document.
+
+    For stretches that go on, less and less alike, after a passage that was taken over.
+    """
+    after: list[tuple[int, int, int]] = []
+    before: list[tuple[int, int, int]] = []
+    extend(doc, p, item, q, 1, after)
+    extend(doc, p - 1, item, q - 1, -1, before)
+    line = [(i, j) for i, j, _ in reversed(before)] + [(i, j) for i, j, _ in after]
+    # errors before each match, read from left to right
+    gaps = [0] + [x[2] for x in reversed(before)] + [x[2] for x in after[1:]]
+    best, s, lost = None, 0, 0
+    for e, (i, j) in enumerate(line):
+        lost += gaps[e] if e > s else 0
+        while s < e and (e - s + 1) / (e - s + 1 + lost) < VERBATIM:
+            s += 1
+            lost -= gaps[s]
+        if places[j] - places[line[s][1]] + 1 >= LEAST_WORDS and (best is None or i - line[s][0] > best[1] - best[0] - 1):
+            best = line[s][0], i + 1
+    return best
+
+
 def leaked(doc: list[str], item: list[str], places: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The word spans of a document that hold a stretch of an item, grown from the places where phrases of it stand."""
     spans: list[tuple[int, int]] = []
@@ -208,98 +297,105 @@ def leaked(doc: list[str], item: list[str], places: list[int], seeds: list[tuple
         total = m0 + m1 + x0 + x1
         if (held >= LEAST_WORDS or whole) and total and (m0 + m1) / total >= LEAST_ALIKE:
             spans.append((s1 + 1, e1))
+        elif held >= LEAST_WORDS and (part := verbatim(doc, item, places, p, q)):
+            spans.append(part)
     return spans
 
 
-def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, list[tuple[str, int, int]]]]]:
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, str, list[str]]]]:
     shard, size = [], 0
     for pdf in batches:
         for i, text in zip(pdf["doc_id"], pdf["text"]):
-            words = [(t[0].lower(), t.start(), t.end()) for t in _TOKEN.finditer(text)]
+            words = words_of(text)
             if shard and size + len(words) > SHARD_WORDS:
                 yield shard
                 shard, size = [], 0
-            shard.append((i, words))
+            shard.append((i, text, words))
             size += len(words) + 1
     if shard:
         yield shard
 
 
-@lru_cache(2)
-def _phrases(items: tuple[tuple[int, str], ...]) -> Phrases:
-    return Phrases(list(items))
-
-
-def search_shard(shard: list[tuple[int, list[tuple[str, int, int]]]], ph: Phrases) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first, last character) of all leaks of a shard."""
-    get = ph.vocabulary.get
-    starts, numbers = [], []
-    for _, words in shard:
-        starts.append(len(numbers))
-        numbers.extend(get(w[0], 0) for w in words)
-        numbers.append(0)
-    text = np.array(numbers, np.int64)
-    if not len(text) or not ph.where:
-        return
-    index = FMIndex(text, len(ph.vocabulary))
-    seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    begin = np.array(starts)
-    for width in sorted({len(k) for k, _ in ph.where}):
-        group = [x for x in ph.where if len(x[0]) == width]
-        lo, hi = index.search(np.array([k for k, _ in group], np.int64))
-        count = hi - lo
-        hit = np.flatnonzero(count)
-        if not len(hit):
-            continue
-        which = np.repeat(hit, count[hit])
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + lo[which]
-        at = index.locate(rows)
-        docs = np.searchsorted(begin, at, "right") - 1
-        for k, d, p in zip(which.tolist(), docs.tolist(), (at - begin[docs]).tolist()):
-            for item, q in group[k][1]:
-                seeds[d, item].append((p, q))
-    for (d, item), found in seeds.items():
-        doc_id, words = shard[d]
-        for s, e in leaked([w[0] for w in words] if len(words) < 5000 else _Lazy(words), ph.words[item], ph.places[item], found):
-            yield doc_id, ph.ids[item], words[s][1], words[e - 1][2]
+class Shard:
+    """The FM-index of some documents, built once for all blocks of items."""
+
+    def __init__(self, shard: list[tuple[int, str, list[str]]], vocabulary: Vocabulary) -> None:
+        self.docs = shard
+        starts, numbers = [], []
+        for _, _, words in shard:
+            starts.append(len(numbers))
+            numbers += map(vocabulary.__getitem__, words)
+            numbers.append(0)
+        self.begin = np.array(starts)
+        self.index = FMIndex(np.array(numbers, np.int64), vocabulary.size) if numbers else None
+
+    def search(self, ph: Phrases) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first, last character) of all leaks of a block's items."""
+        if self.index is None:
+            return
+        seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for phrases, places in ph.groups:
+            lo, hi = self.index.search(phrases)
+            count = hi - lo
+            hit = np.flatnonzero(count)
+            if not len(hit):
+                continue
+            which = np.repeat(hit, count[hit])
+            rows = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + lo[which]
+            at = self.index.locate(rows)
+            docs = np.searchsorted(self.begin, at, "right") - 1
+            for k, d, p in zip(which.tolist(), docs.tolist(), (at - self.begin[docs]).tolist()):
+                for item, q in places[k]:
+                    seeds[d, item].append((p, q))
+        for (d, item), found in seeds.items():
+            doc_id, text, words = self.docs[d]
+            spans = leaked(words, ph.words[item], ph.places[item], found)
+            if spans:
+                at = [t.span() for t in _TOKEN.finditer(text)]
+                for s, e in spans:
+                    yield doc_id, ph.ids[item], at[s][0], at[e - 1][1]
 
 
-class _Lazy:
-    """The words of a very long document, looked at where needed."""
+def _read(path: str, block: int) -> list[tuple[int, str]]:
+    rows = pq.read_table(f"{path}/block={block}", columns=["item_id", "text"], partitioning=None)
+    return sorted(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()))
 
-    def __init__(self, words: list[tuple[str, int, int]]) -> None:
-        self.words = words
 
-    def __len__(self) -> int:
-        return len(self.words)
+@lru_cache(1)
+def _vocabulary(path: str, blocks: tuple[int, ...]) -> Vocabulary:
+    return Vocabulary({w for k in blocks for _, text in _read(path, k) for w in words_of(text)})
 
-    def __getitem__(self, i: int) -> str:
-        return self.words[i][0]
+
+@lru_cache(1)
+def _phrases(path: str, block: int, blocks: tuple[int, ...]) -> Phrases:
+    return Phrases(_read(path, block), _vocabulary(path, blocks))
 
 
 def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end): the passages of each document that come from an item, overlapping and adjoining ones merged.
 
     Held are whole items and stretches of 20 of their words or more, of which
-    LEAST_ALIKE are alike. Items are searched in blocks of bounded size;
-    null and empty texts hold nothing, items without words are in nothing.
+    LEAST_ALIKE are alike, or VERBATIM where the stretch goes on less alike.
+    The items are written once, in blocks of bounded size, which the executors
+    read for themselves one at a time; each shard of documents is read and
+    indexed once, however many items there are. Null and empty texts hold
+    nothing, items without words are in nothing.
     """
-    own = items.select(F.col("item_id"), F.col("text")).where("text IS NOT NULL AND text <> ''")
-    sizes = own.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = 1 + sizes // BLOCK_CHARS
+    own = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    sizes = own.select(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
+    count = 1 + sizes // BLOCK_CHARS
+    written = materialise(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(count)).cast("int")), "block")
+    blocks = tuple(sorted(r["block"] for r in written.select("block").distinct().collect()))
+    path = written_at(written)
     docs = documents.select("doc_id", "text").where("text IS NOT NULL")
-    out = None
-    for k in range(blocks):
-        block = tuple((r["item_id"], r["text"]) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect())
-        sent = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ph = _phrases(sent.value)
-            for shard in _shards(batches):
-                yield pd.DataFrame(list(search_shard(shard, ph)), columns=["doc_id", "item_id", "start", "end"])
-
-        found = docs.mapInPandas(run, "doc_id long, item_id long, start int, end int")
-        out = found if out is None else out.unionByName(found)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in _shards(batches) if blocks else ():
+            shard = Shard(own, _vocabulary(path, blocks))
+            for k in blocks:
+                yield pd.DataFrame(list(shard.search(_phrases(path, k, blocks))), columns=["doc_id", "item_id", "start", "end"])
+
+    out = docs.mapInPandas(run, "doc_id long, item_id long, start int, end int")
     merged = out.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     last = "element_at(acc, -1)"
     merge = f"aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) -> if(size(acc) > 0 AND x.start <= {last}.end + 1, concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))), concat(acc, array(x))))"

@@ -71,3 +71,20 @@ def test_items_in_blocks(spark, monkeypatch, blocks):
     items = [(i, " ".join(sentence(rng, 25))) for i in range(8)]
     monkeypatch.setattr(P, "BLOCK_CHARS", blocks)
     assert run(spark, [(i, t) for i, t in items], items) == [(i, i) for i in range(8)]
+
+
+def test_slips_in_every_phrase_still_meet(spark):
+    rng = random.Random(8)
+    a = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(60)]
+    slipped = [w[:-1] + "zz" if i % 4 == 3 else w for i, w in enumerate(a[10:35])]
+    assert run(spark, [(1, " ".join(sentence(rng, 30) + slipped + sentence(rng, 30)))], [(1, " ".join(a))]) == [(1, 1)]
+
+
+def test_a_passage_that_goes_on_less_alike(spark):
+    rng = random.Random(9)
+    a = sentence(rng, 100)
+    rest = [w if i % 7 not in (2, 5) else "other" for i, w in enumerate(a[24:94])]
+    text = " ".join([*sentence(rng, 20), *a[:24], *rest, *sentence(rng, 20)])
+    d, i = spark.createDataFrame([(1, text), (2, " ".join(a[:15] + rest))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(a))], "item_id long, text string")
+    (r,) = P.leak_spans(d, i).collect()
+    assert r["doc_id"] == 1 and text[r["start"] : r["end"]].split()[:24] == a[:24] and len(text[r["start"] : r["end"]].split()) < 40
