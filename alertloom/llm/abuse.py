@@ -578,15 +578,16 @@ class _Tokens(dict):
 #: In place of classes: the end of a sentence, and a pause.
 _STOP, _PAUSE = -1, -2
 _tokens = _Tokens()
-_ODD = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff'’-]|[^\\W_][ .][^\\W_][ .][^\\W_](?![^\\W_])")
 
 
 def spelt(text: str) -> str:
     """The first transducer's part that sees more than one word: contractions, spaced letters, hyphens."""
-    if not _ODD.search(text):
-        return text
-    text = _CONTRACTED.sub(lambda m: m[1] + _SHORT[m[2].lower()], _INVISIBLE.sub("", text))
-    return _HYPHEN.sub(_unhyphened, _SPACED.sub(lambda m: m[0].replace(" ", "").replace(".", ""), text))
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    if "'" in text or "’" in text:
+        text = _CONTRACTED.sub(lambda m: _SHORT[m[2].lower()], text)
+    text = _SPACED.sub(lambda m: m[0].replace(" ", "").replace(".", ""), text)
+    return _HYPHEN.sub(_unhyphened, text) if "-" in text else text
 
 
 def clauses(text: str) -> Iterator[tuple[list[int], list[bool]]]:
@@ -614,7 +615,7 @@ def clauses(text: str) -> Iterator[tuple[list[int], list[bool]]]:
 
 #: What is left of words joined to others.
 _SHORT = {"re": " are", "ll": " will", "m": " am", "ve": " have"}
-_CONTRACTED = re.compile(r"(\w)['’](re|ll|m|ve)\b", re.I)
+_CONTRACTED = re.compile(r"(?<=(\w))['’](re|ll|m|ve)\b", re.I)
 _HYPHEN = re.compile(r"\b(\w+)-(?=(\w*))")
 
 
