@@ -33,8 +33,8 @@ def _grow(labels: DataFrame, edges: DataFrame) -> DataFrame:
     near = labels.select(F.col("v").alias("u"), (F.col("time") + 1).alias("time"), "center")
     reached = edges.join(near, "u").select(F.col("v").alias("w"), "time", "center")
     both = reached.unionByName(labels.select(F.col("v").alias("w"), "time", "center"))
-    first = both.groupBy("w").agg(F.min(F.struct("time", "center")).alias("x"))
-    return first.select(F.col("w").alias("v"), "x.time", "x.center")
+    # numbers only, so that both sides of the shuffle aggregate by hash; times of two clusters never meet but for a chance of 2^-53
+    return both.groupBy(F.col("w").alias("v")).agg(F.min("time").alias("time"), F.min_by("center", "time").alias("center"))
 
 
 def decompose(edges: DataFrame, level: int) -> DataFrame:
@@ -52,6 +52,7 @@ def decompose(edges: DataFrame, level: int) -> DataFrame:
 def group_ids(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the pairs (a, b), with one node that stands for all it is connected to.
 
+    Nodes are best numbers: these are cheap to compare and to aggregate.
     Pairs may stand repeatedly and in both directions; nulls are left out, a
     loop gives a group of one. A hub with a third of all pairs is no hot spot:
     minima are combined before the shuffle, and adaptive execution splits the
@@ -85,9 +86,9 @@ def group_ids(edges: DataFrame) -> DataFrame:
     return nodes.join(whole, nodes.node == whole.v, "left").select("node", F.coalesce("center", "node").alias("root"))
 
 
-def _vertex(kind: str, c: str) -> Column:
-    """Sixteen bytes for a company or a spelling, however long it is."""
-    return F.unhex(F.md5(F.concat(F.lit(kind), F.col(c).cast("string")).cast("binary")))
+def _print(c: str) -> Column:
+    """Sixteen bytes for a spelling, however long it is."""
+    return F.unhex(F.md5(F.col(c).cast("binary")))
 
 
 def linked_pairs(log: DataFrame) -> DataFrame:
@@ -106,14 +107,36 @@ def linked_pairs(log: DataFrame) -> DataFrame:
     return latest.where("last.links AND names IS NOT NULL").select("names.a", "names.b")
 
 
+def company_graph(companies: DataFrame, log: DataFrame) -> DataFrame:
+    """(a, b): the links between companies, by their ids, and spellings that are nobody's alias, by numbers beyond these.
+
+    A spelling that is an alias stands for the smallest company that has it, and
+    every other company with it is linked to that one; so spellings are read
+    once, and only those that pass links on are nodes of their own.
+    """
+    aliases = companies.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.explode("known_aliases").alias("alias")).where("alias IS NOT NULL").select("id", _print("alias").alias("p"))
+    homes = materialise(aliases.groupBy("p").agg(F.min("id").alias("home")))
+    shared = aliases.join(homes, "p").where("id <> home").select(F.col("id").alias("a"), F.col("home").alias("b"))
+    pairs = linked_pairs(log).where("a <> b").select(_print("a").alias("pa"), _print("b").alias("pb"))
+    side = lambda x: homes.select(F.col("p").alias("p" + x), F.col("home").alias(x))
+    housed = materialise(pairs.join(side("a"), "pa", "left").join(side("b"), "pb", "left"))
+    # the other spellings get numbers that no company has
+    ends = companies.agg(F.max("id").alias("most"), F.min("id").alias("least")).first()
+    room = 1 << 62
+    first = (ends["most"] or 0) + 1 if (ends["most"] or 0) < room else ends["least"] - room
+    others = housed.where("a IS NULL").select(F.col("pa").alias("p")).union(housed.where("b IS NULL").select("pb")).distinct()
+    others = materialise(others.select("p", (F.monotonically_increasing_id() + F.lit(first)).alias("n")))
+    number = lambda x: others.select(F.col("p").alias("p" + x), F.col("n").alias("n" + x))
+    linked = housed.join(number("a"), "pa", "left").join(number("b"), "pb", "left").select(F.coalesce("a", "na").alias("a"), F.coalesce("b", "nb").alias("b"))
+    return shared.unionByName(linked).where("a <> b")
+
+
 def company_groups(companies: DataFrame, log: DataFrame) -> DataFrame:
     """(id, group_id): companies that share their group with at least one other; ``group_id`` is its smallest id.
 
     Companies without aliases, or with none but their own, are in no group.
     """
-    aliases = companies.select("id", F.explode("known_aliases").alias("alias")).where("alias IS NOT NULL")
-    own = aliases.select(_vertex("i", "id").alias("a"), _vertex("s", "alias").alias("b"))
-    roots = group_ids(own.unionByName(linked_pairs(log).select(_vertex("s", "a").alias("a"), _vertex("s", "b").alias("b"))))
-    rows = materialise(companies.select("id", _vertex("i", "id").alias("node")).join(roots, "node").select("id", "root"))
+    roots = group_ids(company_graph(companies, log))
+    rows = materialise(companies.select(F.col("id").cast("long").alias("id")).distinct().join(roots, F.col("id") == F.col("node")).select("id", "root"))
     groups = rows.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
     return rows.join(groups, "root").select("id", "group_id")
