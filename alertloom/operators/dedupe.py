@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_within
+
 
 def fingerprint(columns: list[str]) -> Column:
     """A hash of all fields of a row, nulls told from empty ones."""
@@ -17,20 +19,17 @@ def collapse(records: DataFrame, key: str, order: list[str], apart: list[str], f
     ``apart``: columns that don't count for being identical. The kept row of
     identical ones has a flag with their number. A key's rows are reduced to
     distinct fingerprints before they are numbered, so very many identical
-    rows of one key meet in partial aggregates only; keys that really collide
-    are few rows each by construction of the key.
+    rows of one key meet in partial aggregates only; rows of keys that really
+    collide are numbered range by range, so one key may have any share of them.
     """
     own = [c for c in records.columns if c not in {key, flags, *apart, *order}]
-    first = F.struct(*order)
     marked = records.withColumn("_print", fingerprint(own))
     groups = marked.groupBy(key, "_print").agg(F.min(F.struct(*order, *[c for c in records.columns if c not in order])).alias("_row"), F.count("*").alias("_copies"))
-    keys = groups.groupBy(key).agg(F.count("*").alias("_kinds"))
+    keys = groups.groupBy(key).agg(F.count("*").alias("_kinds"), F.sum("_copies").alias("_n"))
     alone = groups.join(keys.where("_kinds = 1"), key).select("_row.*", "_copies")
     collapsed = alone.withColumn(flags, F.when(F.col("_copies") > 1, F.concat(flags, F.array(F.concat(F.lit("duplicate_source_rows_collapsed:"), F.col("_copies").cast("string"))))).otherwise(F.col(flags))).drop("_copies")
-    several = records.join(keys.where("_kinds > 1").select(key), key)
-    w = Window.partitionBy(key)
-    n, i = F.count("*").over(w).cast("string"), F.row_number().over(w.orderBy(first)).cast("string")
-    told = several.withColumn("_i", i).withColumn("_n", n)
+    several = number_within(records.join(keys.where("_kinds > 1").select(key, "_n"), key), [key], order, "_i")
+    told = several.withColumns({x: F.col(x).cast("string") for x in ("_i", "_n")})
     told = told.withColumn(flags, F.concat(flags, F.array(F.concat(F.lit("id_collision_disambiguated:"), "_i", F.lit("of"), "_n")))).withColumn(key, F.concat_ws("_", key, "_i"))
     return collapsed.select(*records.columns).unionByName(told.select(*records.columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,7 +11,7 @@ from ..functions.similarity import token_set, token_sort
 from ..session import materialise
 from .components import connected_components
 from .dedupe import last_written
-from .numbering import number_rows
+from .numbering import number_rows, number_within
 
 
 def entities(records: DataFrame) -> DataFrame:
@@ -134,8 +134,8 @@ def triage(queue: DataFrame) -> DataFrame:
     own = queue.withColumns({"na": name("a"), "nb": name("b")})
     same = (F.col("na") == F.col("nb")) & F.exists("signals", lambda s: F.startswith(s, F.lit("state_differs:")))
     bucket = F.when(same, "multi_plant").when(F.levenshtein("na", "nb", 2) >= 0, "near_typo").otherwise("other")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "pair_id"))
-    return own.withColumn("bucket", bucket).select("pair_id", "score", "bucket", place.alias("place"))
+    placed = number_within(own.withColumn("bucket", bucket).select("pair_id", "score", "bucket", (-F.col("score")).alias("_low")), ["bucket"], ["_low", "pair_id"], "place")
+    return placed.select("pair_id", "score", "bucket", F.col("place").cast("int").alias("place"))
 
 
 def companies(of: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lab_code, members_hash, slug
-from ..operators.numbering import number_rows
+from ..operators.numbering import carry_forward, number_rows  # noqa: F401
 
 #: Columns of the data set and where they come from.
 DATASET = [
@@ -74,9 +74,3 @@ def spot_check(clusters: DataFrame, size: int, seed: int) -> DataFrame:
     weak = clusters.orderBy("weakest", "cluster").limit(size // 2)
     rest = clusters.join(weak.select("cluster"), "cluster", "left_anti")
     return weak.withColumn("why", F.lit("weakest")).unionByName(rest.orderBy(F.xxhash64(F.lit(seed), "cluster"), "cluster").limit(size - size // 2).withColumn("why", F.lit("drawn")))
-
-
-def carry_forward(rows: DataFrame, within: list[str], order: list[str], column: str) -> DataFrame:
-    """A value stands for the rows after it until the next one; ``within`` should divide the rows into many groups."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(w))

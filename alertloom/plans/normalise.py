@@ -10,6 +10,7 @@ from ..functions import vocabulary as V
 from ..functions.rules import flags
 from ..operators.dedupe import collapse
 from ..operators.quality import check_flags, confidence
+from ..session import materialise
 from ..sources.envelopes import portal_rows
 
 #: The columns of a record, in order.
@@ -90,6 +91,8 @@ def normalise(files: DataFrame) -> DataFrame:
     Uncertainty becomes a flag; no row is dropped for it, none is guessed
     right. The time of the run is the only column that differs between runs.
     """
-    records = collapse(map_rows(portal_rows(files)), "id", _ORDER, ["created_at"], "parse_flags").drop(*_ORDER)
+    # bodies are parsed once, and rows mapped once, for all that is made of them
+    mapped = materialise(map_rows(materialise(portal_rows(files))))
+    records = collapse(mapped, "id", _ORDER, ["created_at"], "parse_flags").drop(*_ORDER)
     records = records.withColumn("parse_flags", F.concat("parse_flags", check_flags()))
     return records.withColumns({"parse_confidence": confidence(F.col("parse_flags")), "created_at": F.current_timestamp()}).select(*COLUMNS)
