@@ -32,6 +32,12 @@ def blocks(of: DataFrame, limit: int | None = V.LARGEST_BLOCK) -> DataFrame:
     return keyed.join(small, ["kind", "key"])
 
 
+def skipped(of: DataFrame, limit: int = V.LARGEST_BLOCK) -> DataFrame:
+    """F8: (kind, key, members, pairs) of the blocks that a limit leaves out."""
+    sizes = blocks(of, None).groupBy("kind", "key").agg(F.count("*").alias("members"))
+    return sizes.where(F.col("members") > limit).withColumn("pairs", F.expr("members * (members - 1) div 2"))
+
+
 def candidate_pairs(keyed: DataFrame) -> DataFrame:
     """(a, b), a before b: spellings that share a block of any kind, each pair once."""
     a, b = keyed.withColumnRenamed("raw", "a"), keyed.withColumnRenamed("raw", "b")

@@ -82,12 +82,8 @@ def by_words(of: DataFrame, index: DataFrame, query: str) -> DataFrame:
     return at.groupBy("id").agg(F.round(F.sum(F.col("weight") * boost * idf * tf), 6).alias("score")).join(of.select("id").distinct(), "id", "left_semi")
 
 
-def search(of: DataFrame, index: DataFrame, query: str, mode: str = "all", limit: int = 100) -> DataFrame:
-    """Q5, U4: (place, id) of the first ``limit`` records in a mode: drug, batch, manufacturer or all.
-
-    In all modes batches come first, then words by score, then companies, each
-    record once. A blank query finds none.
-    """
+def found(of: DataFrame, index: DataFrame, query: str, mode: str = "all") -> DataFrame:
+    """(id, x (way, s)): every record that a query finds in a mode, with the best way it was found: batch (0), words (1, by score), company (2)."""
     ways = {
         "batch": lambda: by_batch(of, query).select("id", F.lit(0).alias("way"), F.lit(0.0).alias("score")),
         "drug": lambda: by_words(of, index, query).select("id", F.lit(1).alias("way"), "score"),
@@ -99,14 +95,27 @@ def search(of: DataFrame, index: DataFrame, query: str, mode: str = "all", limit
         out = out.unionByName(ways[w]())
     if not query.strip():
         out = out.limit(0)
-    first = out.groupBy("id").agg(F.min(F.struct("way", (-F.col("score")).alias("s"))).alias("x"))
-    top = first.orderBy("x.way", "x.s", "id").limit(limit)
+    return out.groupBy("id").agg(F.min(F.struct("way", (-F.col("score")).alias("s"))).alias("x"))
+
+
+def totals(of: DataFrame, index: DataFrame, query: str, mode: str = "all") -> DataFrame:
+    """Q5: one row: how many records are found, and how many of them by their words."""
+    return found(of, index, query, mode).agg(F.count("*").alias("found"), F.count_if(F.col("x.way") == 1).alias("by_words"))
+
+
+def search(of: DataFrame, index: DataFrame, query: str, mode: str = "all", limit: int = 100) -> DataFrame:
+    """Q5, U4: (place, id) of the first ``limit`` records in a mode: drug, batch, manufacturer or all.
+
+    In all modes batches come first, then words by score, then companies, each
+    record once. A blank query finds none.
+    """
+    top = found(of, index, query, mode).orderBy("x.way", "x.s", "id").limit(limit)
     return top.select(F.row_number().over(Window.orderBy("x.way", "x.s", "id")).alias("place"), "id")
 
 
-def page(found: DataFrame, number: int, size: int = 25) -> DataFrame:
+def page(results: DataFrame, number: int, size: int = 25) -> DataFrame:
     """Q6: one page of numbered results."""
-    return found.where(F.col("place").between(number * size + 1, (number + 1) * size))
+    return results.where(F.col("place").between(number * size + 1, (number + 1) * size))
 
 
 def fuzzy_distance(query: str) -> int:

@@ -144,11 +144,13 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _over_records("flag_statistics", quality.flag_statistics, "SELECT split_part(f, ':', 1) AS kind, count(*) AS n FROM (SELECT unnest(parse_flags) AS f FROM nsq_records) GROUP BY 1")
 _over_records(
     "shown_values",
-    lambda r: r.select("id", X.long_month(F.col("alert_month")).alias("month"), X.short_month(F.col("expiry_date")).alias("expires"), X.confidence_label(F.col("parse_confidence")).alias("confidence"), F.array_sort(X.flag_texts(F.col("parse_flags"))).alias("notes"), X.lab_code(F.col("lab_type")).alias("lab")),
+    lambda r: r.select("id", X.long_month(F.col("alert_month")).alias("month"), X.short_month(F.col("expiry_date")).alias("expires"), X.confidence_label(F.col("parse_confidence")).alias("confidence"), F.array_sort(X.flag_texts(F.col("parse_flags"))).alias("notes"), F.transform("failure_category", X.category_label).alias("categories"), X.pin_from_flags(F.col("parse_flags")).alias("pin"), X.missing(F.col("batch_number")).alias("no_batch"), X.lab_code(F.col("lab_type")).alias("lab")),
     f"""SELECT id, coalesce(strftime(try_strptime(alert_month || '-01', '%Y-%m-%d'), '%B %Y'), alert_month) AS month,
     coalesce(CASE len(expiry_date) WHEN 7 THEN strftime(try_strptime(expiry_date || '-01', '%Y-%m-%d'), '%b %Y') WHEN 10 THEN strftime(try_strptime(expiry_date, '%Y-%m-%d'), '%-d %b %Y') END, expiry_date) AS expires,
     CASE WHEN parse_confidence >= 0.95 THEN 'high' WHEN parse_confidence IS NULL OR parse_confidence >= 0.8 THEN 'medium' ELSE 'low' END AS confidence,
     list_sort(list_distinct(list_filter(list_transform(parse_flags, lambda f: ({oracle.mapping(V.FLAG_TEXTS)})[split_part(f, ':', 1)]), lambda x: x IS NOT NULL))) AS notes,
+    list_transform(failure_category, lambda c: CASE WHEN c = 'ph' THEN 'pH' ELSE upper(c[1]) || replace(c, '_', ' ')[2:] END) AS categories,
+    split_part(list_filter(parse_flags, lambda f: f LIKE 'state\\_derived\\_from\\_pin:%' ESCAPE '\\')[1], ':', 2) AS pin, coalesce(batch_number, '') = '' AS no_batch,
     CASE lab_type WHEN 'central' THEN 0 WHEN 'state' THEN 1 ELSE 2 END AS lab FROM nsq_records""",
 )
 
@@ -161,14 +163,58 @@ _PAYLOAD = "CASE json_type(body, '$.payload') WHEN 'VARCHAR' THEN (body->>'$.pay
     "portal_rows",
     f"""WITH f AS (SELECT body->>'$.url' AS url, body->>'$.month' AS month, from_json({_PAYLOAD}->'$.aaData', '["JSON"]') AS rows FROM portal_files WHERE body->>'$.month' IS NOT NULL),
     r AS (SELECT url, month, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS row_no FROM f)
-    SELECT url, month, row_no::INT AS row_no, r->>'$.str_batch_no' AS batch, r->>'$.dt_expiry_date' AS expires FROM r""",
+    SELECT url, month, row_no::INT AS row_no, {oracle.month("month")} AS month_key, r->>'$.str_batch_no' AS batch, r->>'$.dt_expiry_date' AS expires, r->>'$.str_product_name' AS product, r->>'$.product_name_from_dtl' AS spurious_product,
+    r->>'$.str_manufactured_by' AS maker, r->>'$.str_reported_by_lab_or_state' AS lab, r->>'$.str_firm_reply' AS reply, r->>'$.num_id' AS number FROM r""",
 )
 def portal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of all envelopes that have a month."""
-    return envelopes.portal_rows(table(spark, sf_dir, FILES)).select("url", "month", "row_no", F.col("str_batch_no").alias("batch"), F.col("dt_expiry_date").alias("expires"))
+    return envelopes.portal_rows(table(spark, sf_dir, FILES)).select(
+        "url", "month", "row_no", "month_key", F.col("str_batch_no").alias("batch"), F.col("dt_expiry_date").alias("expires"), F.col("str_product_name").alias("product"), F.col("product_name_from_dtl").alias("spurious_product"),
+        F.col("str_manufactured_by").alias("maker"), F.col("str_reported_by_lab_or_state").alias("lab"), F.col("str_firm_reply").alias("reply"), F.col("num_id").alias("number"),
+    )
 
 
 query("skipped_snapshots", "SELECT count(*) FILTER (body->>'$.month' IS NULL)::BIGINT AS skipped_current_snapshot FROM portal_files")(lambda spark, sf_dir: envelopes.skipped_snapshots(table(spark, sf_dir, FILES)))
+_PORTAL = f"""WITH f AS (SELECT body->>'$.url' AS url, body->>'$.tab' AS tab, body->>'$.month' AS month, from_json({_PAYLOAD}->'$.aaData', '["JSON"]') AS rows FROM portal_files WHERE body->>'$.month' IS NOT NULL),
+    r AS (SELECT url, tab, month, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS row_no FROM f)"""
+
+
+def _cleaned(field: str) -> str:
+    return oracle.clean(f"r->>'$.{field}'")
+
+
+@query(
+    "portal_dates",
+    f"""{_PORTAL}, c AS (SELECT url, row_no, r->>'$.dt_reporting_month_year' AS p, {_cleaned("dt_manufacturing_date")} AS m, {_cleaned("dt_expiry_date")} AS e FROM r), v AS (SELECT url, row_no, {oracle.month("p")} AS alert_month, m, {oracle.partial_date("m")} AS made, e, {oracle.partial_date("e")} AS ends FROM c)
+    SELECT url, row_no::INT AS row_no, alert_month, made, ends, m IS NOT NULL AND made IS NULL AS made_unread, e IS NOT NULL AND ends IS NULL AS ends_unread FROM v""",
+)
+def portal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, P3 over all portal rows."""
+    rows = envelopes.portal_rows(table(spark, sf_dir, FILES))
+    clean = rows.select("url", "row_no", "dt_reporting_month_year", X.clean_text(F.col("dt_manufacturing_date")).alias("made"), X.clean_text(F.col("dt_expiry_date")).alias("ends"))
+    own = clean.select("url", "row_no", X.month(F.col("dt_reporting_month_year")).alias("alert_month"), X.partial_date(F.col("made")).alias("m"), X.partial_date(F.col("ends")).alias("e"))
+    unread = lambda x: F.coalesce(F.startswith(F.col(f"{x}.flag"), F.lit("date_unparsed:")), F.lit(False))
+    return own.select("url", "row_no", "alert_month", F.col("m.value").alias("made"), F.col("e.value").alias("ends"), unread("m").alias("made_unread"), unread("e").alias("ends_unread"))
+
+
+@query(
+    "portal_replies",
+    f"""{_PORTAL}, c AS (SELECT url, row_no, {_cleaned("str_nsq_result")} AS reason, {_cleaned("str_firm_reply")} AS reply, {_cleaned("str_nsq_remarks")} AS remarks, coalesce(lower({_cleaned("str_reporting_source")}), '') AS s, r->>'$.num_id' AS num FROM r)
+    SELECT url, row_no::INT AS row_no, CASE WHEN contains(s, 'cdsco') OR contains(s, 'central') THEN 'central_lab' WHEN contains(s, 'state') THEN 'state_lab' END AS section,
+    CASE WHEN contains(s, 'cdsco') OR contains(s, 'central') OR contains(s, 'state') THEN NULL WHEN s = '' THEN 'alert_section_missing' ELSE 'alert_section_unrecognised:' || s[1:40] END AS section_flag,
+    regexp_matches(concat_ws(' ', reply, remarks), {oracle.quote(V.DISPUTE)})::INT AS disputed, nullif(concat_ws(chr(10), reason, '[Firm''s reply] ' || reply, '[Remarks] ' || remarks), '') AS reason, reason AS reason_only,
+    'SPU_' || num AS numbered FROM c""",
+)
+def portal_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4, P13, P14, P15, P41 over all portal rows."""
+    c = F.col
+    rows = envelopes.portal_rows(table(spark, sf_dir, FILES))
+    clean = rows.select("url", "row_no", "num_id", *[X.clean_text(c(f)).alias(n) for n, f in (("reason", "str_nsq_result"), ("reply", "str_firm_reply"), ("remarks", "str_nsq_remarks"), ("source", "str_reporting_source"))])
+    own = clean.withColumns({"s": X.section(c("source")), "all": X.reason_with_replies(c("reason"), c("reply"), c("remarks"))})
+    numbered = X.spurious_id(c("num_id"), F.lit(None).cast("string"))
+    return own.select("url", "row_no", c("s.value").alias("section"), c("s.flag").alias("section_flag"), X.disputed(c("reply"), c("remarks"))["value"].alias("disputed"), c("all").alias("reason"), F.nullif(X.reason_only(c("all")), F.lit("")).alias("reason_only"), numbered.alias("numbered"))
+
+
 query("portal_records")(lambda spark, sf_dir: normalise.normalise(table(spark, sf_dir, FILES)).drop("created_at"))
 
 
@@ -239,6 +285,75 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(table(spark, sf_dir, LOG).where("kind = 'auto_merge'"))
 
 
+_DECIDED = """WITH RECURSIVE d AS (SELECT pair_id, arg_max(coalesce(decision, ''), log_seq) AS decision FROM manufacturer_merge_log WHERE kind = 'review_decision' AND pair_id IS NOT NULL GROUP BY 1),
+    q AS (SELECT DISTINCT pair_id, a, b FROM manufacturer_merge_log WHERE pair_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+    e AS (SELECT a, b FROM manufacturer_merge_log WHERE kind = 'auto_merge' AND a IS NOT NULL AND b IS NOT NULL UNION SELECT a, b FROM q JOIN d USING (pair_id) WHERE decision = 'approve'),
+    s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM q UNION SELECT b, b FROM q),
+    r AS (SELECT u AS node, v AS x FROM s UNION SELECT node, v FROM r JOIN s ON x = u), c AS (SELECT node, min(x) AS component FROM r GROUP BY 1)"""
+
+
+def _logged(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The spellings, the automatic merges and all pairs of a log."""
+    named = log.where("pair_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
+    return named.select(F.col("a").alias("raw")).union(named.select("b")).distinct(), log.where("kind = 'auto_merge' AND a IS NOT NULL AND b IS NOT NULL").withColumn("tier", F.lit("auto")), named.select("pair_id", "a", "b").distinct()
+
+
+@query("decided_clusters", _DECIDED + " SELECT node AS raw, component AS cluster FROM c")
+def decided_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the log's spellings by its automatic merges and what was approved last."""
+    log = table(spark, sf_dir, LOG)
+    of, auto, queue = _logged(log)
+    return resolution.apply_decisions(of, auto, queue, log)
+
+
+@query(
+    "spanning_forest",
+    """WITH RECURSIVE p AS (SELECT a, b, max(score) AS score FROM manufacturer_merge_log WHERE kind = 'auto_merge' AND a <> b AND score IS NOT NULL GROUP BY 1, 2), s AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT u AS node, u AS x FROM s UNION SELECT node, v FROM r JOIN s ON x = u), c AS (SELECT node, min(x) AS component FROM r GROUP BY 1)
+    SELECT component, count(*) - 1 AS edges FROM c GROUP BY 1""",
+)
+def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges the best forest of the log's automatic merges has in each component: one less than nodes, so all are joined and none in a circle."""
+    scored = materialise(table(spark, sf_dir, LOG).where("kind = 'auto_merge' AND a <> b AND score IS NOT NULL").groupBy("a", "b").agg(F.max("score").alias("score")))
+    forest = materialise(resolution.spanning_edges(scored))
+    parts = connected_components(forest)
+    return forest.join(parts, forest.a == parts.node).groupBy("component").agg(F.count("*").alias("edges"))
+
+
+@query(
+    "unlogged_merges",
+    f"""WITH l AS (SELECT * FROM manufacturer_merge_log WHERE ts < (SELECT max(ts) FROM manufacturer_merge_log WHERE kind = 'build_summary')), n AS (SELECT DISTINCT pair_id, score FROM manufacturer_merge_log WHERE kind = 'auto_merge' AND pair_id IS NOT NULL AND score IS NOT NULL)
+    SELECT pair_id, score FROM n WHERE NOT EXISTS (FROM l WHERE l.kind = 'auto_merge' AND l.pair_id = n.pair_id AND l.score = n.score)""",
+)
+def unlogged_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The automatic merges that the log before its last build had not."""
+    log = table(spark, sf_dir, LOG)
+    last = log.where("kind = 'build_summary'").agg(F.max("ts")).scalar()
+    merges = log.where("kind = 'auto_merge' AND pair_id IS NOT NULL AND score IS NOT NULL").select("pair_id", "score").distinct()
+    return resolution.new_log_entries(merges, log.where(F.col("ts") < last))
+
+
+@query("backfilled_records", "WITH i AS (SELECT id AS manufacturer_id, unnest(known_aliases) AS raw FROM manufacturers) SELECT r.id, i.manufacturer_id FROM nsq_records r LEFT JOIN i ON i.raw = r.manufacturer_raw")
+def backfilled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with each company that has its spelling; none for the others."""
+    return resolution.backfill(table(spark, sf_dir, NSQ), table(spark, sf_dir, COMPANIES)).select("id", "manufacturer_id")
+
+
+_AGREED = "drug_name_raw IS NOT NULL AND testing_lab IS NOT NULL AND manufacturer_raw IS NOT NULL"
+
+
+@query(
+    "field_agreement",
+    f"""WITH l AS (SELECT manufacturer_raw AS k, min((drug_name_raw, testing_lab)) AS l FROM nsq_records WHERE alert_section = 'central_lab' AND {_AGREED} GROUP BY 1), r AS (SELECT manufacturer_raw AS k, min((drug_name_raw, testing_lab)) AS r FROM nsq_records WHERE alert_section <> 'central_lab' AND {_AGREED} GROUP BY 1),
+    x AS (SELECT 'drug_name_raw' AS field, lower(l[1]) AS a, lower(r[1]) AS b FROM l JOIN r USING (k) UNION ALL SELECT 'testing_lab', lower(l[2]), lower(r[2]) FROM l JOIN r USING (k))
+    SELECT field, count(*) AS compared, count(*) FILTER (starts_with(a, b) OR starts_with(b, a)) AS agree FROM x GROUP BY 1""",
+)
+def field_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two sources agree on the first record of a manufacturer: central laboratories and all others."""
+    own = table(spark, sf_dir, NSQ).where(_AGREED)
+    return questions.field_agreement(own.where("alert_section = 'central_lab'"), own.where("alert_section <> 'central_lab'"), "manufacturer_raw", ["drug_name_raw", "testing_lab"])
+
+
 @query(
     "reconciled_makers",
     f"""WITH l AS (SELECT DISTINCT manufacturer_raw AS k FROM nsq_records WHERE alert_month < '{CUT_OFF}' AND manufacturer_raw IS NOT NULL), r AS (SELECT DISTINCT manufacturer_raw AS k FROM nsq_records WHERE alert_month >= '{CUT_OFF}' AND manufacturer_raw IS NOT NULL),
@@ -250,11 +365,15 @@ def reconciled_makers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.reconcile(r.where(F.col("alert_month") < CUT_OFF), r.where(F.col("alert_month") >= CUT_OFF), "manufacturer_raw")
 
 
-@query("upserted_customers", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, upper(c_name), NULL FROM customer WHERE c_custkey % 7 = 0")
+_OPEN = "SELECT o_custkey AS c_custkey, 'open orders' AS c_name FROM orders WHERE o_orderstatus = 'O' GROUP BY 1"
+
+
+@query("upserted_customers", f"WITH n AS ({_OPEN}) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, c_name, NULL FROM n")
 def upserted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: new rows take the place of old ones with the same key; columns that they lack are null."""
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return dedupe.upsert(old, old.where("c_custkey % 7 = 0").select("c_custkey", F.upper("c_name").alias("c_name")), "c_custkey")
+    """K2: new rows (customers with open orders) take the place of old ones (without debts) or come to them; columns that they lack are null."""
+    old = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey", "c_name", "c_acctbal")
+    new = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), F.lit("open orders").alias("c_name")).distinct()
+    return dedupe.upsert(old, new, "c_custkey")
 
 
 @query("carried_forward", "SELECT id, last_value(lab_name_canonical IGNORE NULLS) OVER (PARTITION BY manufacturer_raw ORDER BY alert_month NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS lab FROM nsq_records")
@@ -307,6 +426,26 @@ def blocked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.candidate_pairs(resolution.blocks(names))
 
 
+_PART_KEYS = """WITH p AS (SELECT DISTINCT p_name AS raw, split_part(p_name, ' ', 1) AS f, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS s FROM part),
+    k AS (SELECT 'token' AS kind, f AS key, raw FROM p UNION ALL SELECT 'prefix', f[1:4], raw FROM p UNION ALL SELECT 'sorted', s, raw FROM p)"""
+
+
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("raw"), F.col("p_name").alias("norm"), F.col("p_name").alias("core")).distinct()
+
+
+@query("all_blocked_parts", f"{_PART_KEYS} SELECT DISTINCT x.raw AS a, y.raw AS b FROM k x JOIN k y USING (kind, key) WHERE x.raw < y.raw")
+def all_blocked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, J3 without the reference's bound: every pair that shares a block of any size."""
+    return resolution.candidate_pairs(resolution.blocks(_part_names(spark, sf_dir), None))
+
+
+@query("skipped_blocks", f"{_PART_KEYS} SELECT kind, key, count(DISTINCT raw) AS members, count(DISTINCT raw) * (count(DISTINCT raw) - 1) // 2 AS pairs FROM k GROUP BY 1, 2 HAVING count(DISTINCT raw) > 200")
+def skipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: what a bound on blocks leaves out: each block with more than 200 members, and its pairs."""
+    return resolution.skipped(_part_names(spark, sf_dir), 200)
+
+
 # --- search and export --------------------------------------------------------------------
 
 
@@ -314,6 +453,12 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(table(spark, sf_dir, NSQ), table(spark, sf_dir, COMPANIES))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is searched and its index, written once, in order of the terms."""
+    own = materialise(_hits(spark, sf_dir))
+    return own, materialise(search.postings(own).repartitionByRange("term").sortWithinPartitions("term"))
+
+
 query("batch_lookup", f"SELECT id FROM nsq_records WHERE regexp_replace(lower(batch_number), '[^a-z0-9]', '', 'g') = regexp_replace(lower('{BATCH}'), '[^a-z0-9]', '', 'g')")(lambda s, d: search.by_batch(_hits(s, d), BATCH).select("id"))
 query("company_lookup", f"SELECT r.id FROM nsq_records r LEFT JOIN manufacturers m ON m.id = r.manufacturer_id WHERE contains(lower(coalesce(manufacturer_raw, '')), '{COMPANY}') OR contains(lower(coalesce(canonical_name, '')), '{COMPANY}')")(
     lambda s, d: search.by_company(_hits(s, d), COMPANY).select("id")
@@ -328,15 +473,40 @@ _TERM = " OR ".join(f"t LIKE '{q}%' OR levenshtein(t, '{q}') <= {round(search.FU
 )
 def drug_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: which records have a word of the query, one that begins with it, or one close to it."""
-    own = _hits(spark, sf_dir)
-    return search.by_words(own, search.postings(own), DRUG).select("id")
+    return search.by_words(*_indexed(spark, sf_dir), DRUG).select("id")
+
+
+_WORDS = ", ".join(f"({oracle.quote(q)}, {max(0, round(search.FUZZINESS * len(q)))})" for q in search.query_words(DRUG))
+_SCORED = f"""WITH h AS (SELECT r.id, coalesce(drug_name_raw, '') AS drug, coalesce(batch_number, '') AS batch, coalesce(manufacturer_raw, '') AS manufacturer, coalesce(canonical_name, '') AS canonical FROM nsq_records r LEFT JOIN manufacturers m ON m.id = r.manufacturer_id),
+    f AS ({" UNION ALL ".join(f"SELECT id, '{f}' AS field, {b} AS boost, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS w FROM h" for f, b in search.FIELDS.items())}),
+    p AS (SELECT term, field, boost, id, count(*) AS tf, max(n) AS len FROM (SELECT id, field, boost, len(w) AS n, unnest(w) AS term FROM f) GROUP BY ALL),
+    t AS (SELECT field, count(DISTINCT id) AS docs, sum(tf) / count(DISTINCT id) AS mean FROM p GROUP BY 1),
+    q AS (SELECT col0 AS q, col1 AS k FROM (VALUES {_WORDS})),
+    m AS (SELECT term, q, CASE WHEN term = q THEN 1.0 WHEN starts_with(term, q) THEN {search.PREFIX_WEIGHT}::DOUBLE * len(term) / (len(term) + 0.3::DOUBLE * (len(term) - len(q))) WHEN levenshtein(term, q) <= k THEN {search.FUZZY_WEIGHT}::DOUBLE * len(term) / (len(term) + levenshtein(term, q)) END AS weight
+        FROM (SELECT DISTINCT term FROM p), q),
+    x AS (SELECT * FROM m JOIN p USING (term) WHERE weight IS NOT NULL), d AS (SELECT term, field, count(DISTINCT id) AS df FROM x GROUP BY 1, 2),
+    w AS (SELECT id, round(sum(weight * boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1}::DOUBLE * (1 - {search.B}::DOUBLE + {search.B}::DOUBLE * len / mean))), 6) AS score FROM x JOIN d USING (term, field) JOIN t USING (field) GROUP BY 1)"""
+_RANKED = f"""{_SCORED}, ways AS (SELECT id, 0 AS way, 0.0 AS s FROM h WHERE regexp_replace(lower(batch), '[^a-z0-9]', '', 'g') = regexp_replace('{DRUG}', '[^a-z0-9]', '', 'g') UNION ALL SELECT id, 1, -score FROM w
+    UNION ALL SELECT id, 2, 0.0 FROM h WHERE contains(lower(manufacturer), '{DRUG}') OR contains(lower(canonical), '{DRUG}')), best AS (SELECT id, min((way, s)) AS x FROM ways GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY x, id)::INT AS place, id FROM best ORDER BY place LIMIT 100"""
+
+
+@query("word_scores", f"{_SCORED} SELECT id, round(score, 4) AS score FROM w")
+def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: every record with a word of the query and its score."""
+    return search.by_words(*_indexed(spark, sf_dir), DRUG).select("id", F.round("score", 4).alias("score"))
+
+
+@query("search_totals", f"{_RANKED.rpartition(chr(10))[0]} SELECT count(*) AS found, count(*) FILTER (x[1] = 1) AS by_words FROM best")
+def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: how many records are found in all before the first hundred are shown."""
+    return search.totals(*_indexed(spark, sf_dir), DRUG)
 
 
-@query("ranked_search")
+@query("ranked_search", _RANKED)
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: the first hundred records of all modes."""
-    own = _hits(spark, sf_dir)
-    return search.search(own, search.postings(own), DRUG)
+    return search.search(*_indexed(spark, sf_dir), DRUG)
 
 
 _EXPORTED = ", ".join(
@@ -363,8 +533,9 @@ query(
 )(lambda s, d: export.index_rows(table(s, d, NSQ), table(s, d, COMPANIES)))
 _over_records(
     "published_summary",
-    lambda r: export.summary(r).select("months", "records", "disputed"),
-    "SELECT list_sort(list(DISTINCT alert_month) FILTER (alert_month IS NOT NULL), 'DESC') AS months, count(*) AS records, count(*) FILTER (label_claim_disputed = 1) AS disputed FROM nsq_records",
+    lambda r: export.summary(r).withColumn("categories", F.transform(F.map_entries("categories"), lambda x: F.concat_ws(":", x["key"], x["value"]))),
+    """SELECT list_sort(list(DISTINCT alert_month) FILTER (alert_month IS NOT NULL), 'DESC') AS months, count(*) AS records, count(*) FILTER (label_claim_disputed = 1) AS disputed,
+    (SELECT list(c || ':' || n ORDER BY c) FROM (SELECT c, count(*) AS n FROM (SELECT unnest(failure_category) AS c FROM nsq_records) GROUP BY 1)) AS categories FROM nsq_records""",
 )
 
 

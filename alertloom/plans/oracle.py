@@ -109,3 +109,23 @@ def stems(name: str, column: str) -> str:
     """All stems' words of a column, as rows of a union: class, stem, word and ``column``."""
     own = [f"SELECT {quote(kind)} AS class, {quote(stem)} AS stem, lower(unnest(regexp_extract_all({name}, {quote('(?i)' + p)}))) AS word, {column} FROM names" for p, kind, stem in V.STEMS]
     return " UNION ALL ".join(own)
+
+
+def month(c: str) -> str:
+    """A month's name and a year as YYYY-MM, else null."""
+    names = mapping({m: f"{i:02d}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)})
+    pattern = r"'^\s*([A-Za-z]{3,})[-/\s]+(\d{4})\s*$'"
+    return f"CASE WHEN regexp_matches({c}, {pattern}) THEN regexp_extract({c}, {pattern}, 2) || '-' || ({names})[lower(regexp_extract({c}, {pattern}, 1)[1:3])] END"
+
+
+def partial_date(c: str) -> str:
+    """A date that may lack its day: the first form that it has."""
+    names = mapping({m: f"{i:02d}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)})
+    mm, day, short = r"'^(\d{1,2})[/-](\d{4})$'", r"'^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$'", r"'^([A-Za-z]{3,})''?\s*(\d{2})$'"
+    part = lambda p, n: f"regexp_extract({c}, {p}, {n})"
+    number = lambda p, n: f"try_cast({part(p, n)} AS INT)"
+    return (
+        f"coalesce({month(c)}, CASE WHEN regexp_matches({c}, {mm}) AND {number(mm, 1)} BETWEEN 1 AND 12 THEN {part(mm, 2)} || '-' || lpad({part(mm, 1)}, 2, '0') END, "
+        f"CASE WHEN regexp_matches({c}, {day}) AND {number(day, 2)} BETWEEN 1 AND 12 AND {number(day, 1)} BETWEEN 1 AND 31 THEN {part(day, 3)} || '-' || lpad({part(day, 2)}, 2, '0') || '-' || lpad({part(day, 1)}, 2, '0') END, "
+        f"CASE WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}(?:-\\d{{2}})?') THEN {c}[1:10] END, CASE WHEN regexp_matches({c}, {short}) THEN '20' || {part(short, 2)} || '-' || ({names})[lower({part(short, 1)}[1:3])] END)"
+    )
