@@ -440,10 +440,10 @@ def all_blocked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.candidate_pairs(resolution.blocks(_part_names(spark, sf_dir), None))
 
 
-@query("skipped_blocks", f"{_PART_KEYS} SELECT kind, key, count(DISTINCT raw) AS members, count(DISTINCT raw) * (count(DISTINCT raw) - 1) // 2 AS pairs FROM k GROUP BY 1, 2 HAVING count(DISTINCT raw) > 200")
+@query("skipped_blocks", f"{_PART_KEYS} SELECT kind, key, count(DISTINCT raw) AS members, count(DISTINCT raw) * (count(DISTINCT raw) - 1) // 2 AS pairs FROM k GROUP BY 1, 2 HAVING count(DISTINCT raw) > 2")
 def skipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: what a bound on blocks leaves out: each block with more than 200 members, and its pairs."""
-    return resolution.skipped(_part_names(spark, sf_dir), 200)
+    """F8: what a bound on blocks leaves out: each block with more than two members, and its pairs."""
+    return resolution.skipped(_part_names(spark, sf_dir), 2)
 
 
 # --- search and export --------------------------------------------------------------------
