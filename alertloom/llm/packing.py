@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from ..session import materialise
 CAPACITY = 2048
 #: Texts of one length are numbered within so many groups, so that no length is one task.
 GROUPS = 64
+#: The tokenizer that is used if no other is named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -102,11 +104,20 @@ def _tokenizer(path: str):  # noqa: ANN202
     return t
 
 
-def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n): the number of tokens of every text, null and empty ones having none."""
+def count_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n): the number of tokens of every text, null and empty ones having none.
+
+    The tokenizer's file is the one given, else what ``alertloom.tokenizer`` in
+    the session's settings names, else VOCABULARY. The driver ships it to the
+    executors.
+    """
+    spark = documents.sparkSession
+    path = vocabulary or spark.conf.get("alertloom.tokenizer", VOCABULARY)
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(vocabulary)
+        t = _tokenizer(SparkFiles.get(name))
         for pdf in batches:
             texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
             counts: list[int] = []
