@@ -18,7 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -112,10 +112,11 @@ def profile(values: list, depth: int = 1) -> dict:
     texts = [x if isinstance(x, str) else str(x) for x in scalars]
     numbers = [x for x in scalars if isinstance(x, (int, float)) and math.isfinite(x)] if kinds.keys() - {str} else []
     lines = "\n".join(texts).replace("\r", " ") if not any("\n" in x for x in texts) else "\n".join(x.replace("\n", " ").replace("\r", " ") for x in texts)
-    shapes = _RUNS.sub(r"\1", lines.translate(_CLASSES)).split("\n") if texts else []
+    coarse = lines.translate(_CLASSES)
+    shapes = _RUNS.sub(r"\1", coarse).split("\n") if texts else []
     words = _WORDS.findall(lines.lower())
     # a value without any word is known by its shape
-    words += ["#" + x for x, t in zip(shapes, texts) if not _WORDS.search(t.lower())]
+    words += ["#" + x for x, c, t in zip(shapes, coarse.split("\n"), texts) if not ("aaa" in c or "Aaa" in c or "AAA" in c or _WORDS.search(t.lower()))]
     return {
         "t": {_KINDS[k]: n for k, n in kinds.items()}, "n": sum(kinds.values()), "w": _binned(words), "s": _binned(shapes), "k": len(texts),
         "l": float(sum(map(len, texts))), "m": sum(math.log10(1 + abs(x)) for x in numbers), "c": {k: profile(v, depth + 1) for k, v in inner.items()} if depth < DEEPEST else {},
@@ -334,7 +335,7 @@ def _kinds(rows: list[dict]) -> dict[str, list[str]]:
 _SUMMARY = "file_key long, file_id long, tab string, feed string, month_no int, fetched_at string, n_rows long, outline string, schema string, kinds string"
 
 
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summarise(batches: Iterator[pd.DataFrame], kinds: bool = True) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for key, i, tab, feed, month, at, body in zip(*(pdf[c] for c in ("file_key", "file_id", "tab", "feed", "month", "fetched_at", "body"))):
@@ -342,7 +343,7 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             no = int(m[2]) * 12 + MONTHS[m[1].lower()] - 1 if m and m[1].lower() in MONTHS else None
             rows = rows_of(body)
             fields = tree(rows)
-            out.append((key, None if pd.isna(i) else int(i), tab, feed, no, at, len(rows), *(json.dumps(x) for x in (outline(fields), fields, _kinds(rows)))))
+            out.append((key, None if pd.isna(i) else int(i), tab, feed, no, at, len(rows), *(json.dumps(x) for x in (outline(fields), fields, _kinds(rows) if kinds else None))))
         yield pd.DataFrame(out, columns=["file_key", "file_id", "tab", "feed", "month_no", "fetched_at", "n_rows", "outline", "schema", "kinds"]).astype({"month_no": "Int32", "file_id": "Int64"})
 
 
@@ -352,9 +353,9 @@ def _keyed(files: DataFrame) -> DataFrame:
     return own.withColumn("file_key", F.xxhash64("file_id", "tab", "feed", "month", "fetched_at", "body"))
 
 
-def summarise(files: DataFrame) -> DataFrame:
-    """One row per file with its schema tree and bounded content features. A null tab or feed is one without a name."""
-    return _keyed(files).mapInPandas(_summarise, _SUMMARY)
+def summarise(files: DataFrame, kinds: bool = False) -> DataFrame:
+    """One row per file with its schema tree and bounded content features, and with the kinds of its leaves where asked. A null tab or feed is one without a name."""
+    return _keyed(files).mapInPandas(partial(_summarise, kinds=kinds), _SUMMARY)
 
 
 def monthly(summaries: DataFrame) -> DataFrame:
@@ -565,7 +566,7 @@ def one_table(files: DataFrame) -> DataFrame:
     like a key column, the later ones get trailing underscores. Unreadable and
     empty bodies have no rows.
     """
-    summaries = materialise(summarise(files))
+    summaries = materialise(summarise(files, kinds=True))
     names = materialise(file_names(summaries))
     kinds = summaries.select("file_key", F.explode(F.from_json("kinds", "map<string,array<string>>")).alias("field", "kinds")).join(names, ["file_key", "field"], "left")
     columns = kinds.groupBy(F.coalesce("first", "field").alias("first")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds")).orderBy("first")
