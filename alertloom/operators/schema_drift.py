@@ -359,10 +359,18 @@ def summarise(files: DataFrame, kinds: bool = False) -> DataFrame:
 
 
 def monthly(summaries: DataFrame) -> DataFrame:
-    """Of each month of a feed the last fetch with rows; snapshots are left out. As many rows per feed as months at most."""
+    """Of each month of a feed the last fetch with rows; snapshots are left out. As many rows per feed as months at most.
+
+    Only keys are compared and written; the trees stay where they are.
+    """
     own = summaries.where("month_no IS NOT NULL AND n_rows > 0 AND file_id IS NOT NULL")
-    last = F.max(F.struct("fetched_at", "file_id", "file_key", "outline", "schema")).alias("x")
-    return own.groupBy("tab", "feed", "month_no").agg(last).select("tab", "feed", "month_no", "x.fetched_at", "x.file_id", "x.file_key", "x.outline", "x.schema")
+    last = own.groupBy("tab", "feed", "month_no").agg(F.max(F.struct("fetched_at", "file_id", "file_key")).alias("x"))
+    return materialise(last.select("tab", "feed", "month_no", "x.fetched_at", "x.file_id", "x.file_key"))
+
+
+def _followed(summaries: DataFrame, main: DataFrame) -> DataFrame:
+    own = summaries.select("file_id", "file_key", "tab", "feed", "month_no", "outline", "schema").join(main.select("file_key"), "file_key", "left_semi")
+    return own.groupBy("tab", "feed").applyInPandas(_follow, _SCRIPTS)
 
 
 def merge(old: dict, new: dict) -> dict:
@@ -417,7 +425,8 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
     typed: dict[str, str] = {}
     held: dict[str, list[tuple[int, str]]] = {}
     summed: dict[str, tuple[int, dict]] = {}
-    ids, keys, outlines, schemas = pdf.sort_values("month_no")[["file_id", "file_key", "outline", "schema"]].values.T
+    # the very same file may be there twice
+    ids, keys, outlines, schemas = pdf.drop_duplicates("file_key").sort_values("month_no")[["file_id", "file_key", "outline", "schema"]].values.T
     lines = [json.loads(x) for x in outlines]
     full = lru_cache(RECENT)(lambda n: json.loads(schemas[n]))
     within = lambda line: line[1] if len(line) > 1 else {}
@@ -472,9 +481,10 @@ def feed_scripts(summaries: DataFrame) -> DataFrame:
     """(tab, feed, file_id, file_key, change, field, old_field): the scripts of all files, and a ``field`` row with the first name of each path.
 
     A feed's summaries are read in order by one task; they are bounded by the
-    calendar, whatever share of all files or rows the feed holds.
+    calendar, whatever share of all files or rows the feed holds. ``summaries``
+    must be materialised: it is read twice.
     """
-    return monthly(summaries).groupBy("tab", "feed").applyInPandas(_follow, _SCRIPTS)
+    return _followed(summaries, monthly(summaries))
 
 
 def schema_changes(files: DataFrame, nested: bool = False) -> DataFrame:
@@ -486,7 +496,7 @@ def schema_changes(files: DataFrame, nested: bool = False) -> DataFrame:
     Snapshots and files without rows have no part in it; an empty table gives
     no rows.
     """
-    out = feed_scripts(summarise(files)).where("change <> 'field'").select("file_id", "change", "field", "old_field")
+    out = feed_scripts(materialise(summarise(files))).where("change <> 'field'").select("file_id", "change", "field", "old_field")
     if nested:
         dots = lambda c: F.translate(c, SEP, ".").alias(c)
         return out.select("file_id", "change", dots("field"), dots("old_field"))
@@ -519,7 +529,7 @@ def file_names(summaries: DataFrame) -> DataFrame:
     ``summaries`` must be materialised: it is read several times.
     """
     main = monthly(summaries)
-    followed = materialise(main.groupBy("tab", "feed").applyInPandas(_follow, _SCRIPTS).where("change = 'field'").select("file_key", "field", F.col("old_field").alias("first")))
+    followed = materialise(_followed(summaries, main).where("change = 'field'").select("file_key", "field", F.col("old_field").alias("first")))
     others = summaries.where("n_rows > 0").join(main.select("file_key"), "file_key", "left_anti").dropDuplicates(["file_key"])
     # which file each is compared with: as many rows as a feed has months for each, of a few numbers only
     small = others.select("file_key", "tab", "feed", "month_no", "fetched_at")
@@ -527,7 +537,9 @@ def file_names(summaries: DataFrame) -> DataFrame:
     rank = F.struct(F.col("m").eqNullSafe(F.col("month_no")).alias("same"), F.coalesce(F.col("at") <= F.col("fetched_at"), F.lit(False)).alias("known"), F.when(F.coalesce(F.col("at") <= F.col("fetched_at"), F.lit(False)), F.col("m")).otherwise(-F.col("m")).alias("m"), F.col("base"))
     chosen = small.join(months, ["tab", "feed"]).groupBy("file_key").agg(F.max(rank).alias("x")).select("file_key", F.col("x.base").alias("base"))
     maps = followed.groupBy(F.col("file_key").alias("base")).agg(F.map_from_entries(F.collect_list(F.struct("field", "first"))).alias("base_names"))
-    bases = main.select(F.col("file_key").alias("base"), F.col("outline").alias("base_outline"), F.col("schema").alias("base_schema")).join(maps, "base")
+    chosen = materialise(chosen)
+    trees = summaries.select(F.col("file_key").alias("base"), F.col("outline").alias("base_outline"), F.col("schema").alias("base_schema"))
+    bases = trees.join(chosen.select("base").distinct(), "base", "left_semi").dropDuplicates(["base"]).join(maps, "base")
     beside = others.select("file_key", "outline", "schema").join(chosen, "file_key", "left").join(bases, "base", "left")
     return followed.unionByName(beside.drop("base").mapInPandas(_other_names, "file_key long, field string, first string"))
 
